@@ -1 +1,6 @@
+"""All queries, imported for their registration."""
 
+from voxtable.catalog import cleaning
+from voxtable.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "cleaning"]

@@ -77,10 +77,23 @@ def _composed_tables():
     return compat, sorted(active)
 
 
-def _map_rare(text: Column, chars: str, image) -> Column:
-    """Replace characters of class ``chars`` by ``image(char)``, cutting the text around them."""
-    pieces = F.regexp_extract_all(text, F.lit(f"{chars}|[^{chars[1:]}+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda s: F.when(s.rlike(f"^{chars}$"), image(s)).otherwise(s)), "")
+# Blocks most feedback text is made of: Latin, Arabic, general punctuation, currency, emoji.
+_FREQUENT = (range(0x00, 0x180), range(0x600, 0x700), range(0x2010, 0x203B), range(0x20A0, 0x20C0), range(0x1F300, 0x1FB00))
+
+
+def _inert(special) -> str:
+    """Ranges of frequent characters outside ``special``, as the inside of a class.
+
+    Java tests the ranges of a class one by one, so long classes are only ever applied to
+    what is left after these few ranges are taken out.
+    """
+    return _as_class([p for block in _FREQUENT for p in block if p not in special])[1:-1]
+
+
+def _map_rare(text: Column, inert: str, image) -> Column:
+    """Replace single characters outside the inert ranges by ``image(char)``."""
+    pieces = F.regexp_extract_all(text, F.lit(f"[{inert}]+|[^{inert}]"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda s: F.when(F.char_length(s) == 1, image(s)).otherwise(s)), "")
 
 
 def _literal_map(table: dict[str, str]) -> Column:
@@ -104,14 +117,18 @@ def strip_accents(text: Column) -> Column:
     """NFKD without combining marks, exact for every character and fully inside the JVM."""
     dropped, single, expanding = _bare_tables()
     bare = F.translate(text, "".join(single) + "".join(dropped), "".join(single.values()))
-    wide = _as_class(sorted(map(ord, expanding)))
+    inert = _inert({ord(c) for c in expanding})
     syllables = r"[\x{AC00}-\x{D7A3}]"
     table = _literal_map(expanding)
-    rare = _map_rare(bare, wide, lambda s: table[s])
-    rare = F.when(text.rlike(syllables), _map_rare(rare, syllables, _hangul_parts)).otherwise(rare)
+
+    def image(ch: Column) -> Column:
+        return F.when(ch.rlike(syllables), _hangul_parts(ch)).otherwise(F.coalesce(table[ch], ch))
+
+    leftover = F.regexp_replace(text, f"[{inert}]+", "")
+    expands = text.rlike(f"[^{inert}]") & leftover.rlike(_as_class(sorted(map(ord, expanding))) + "|" + syllables)
     return (
         F.when(~text.rlike(r"[^\x00-\x7F]"), text)
-        .when(text.rlike(wide) | text.rlike(syllables), rare)
+        .when(expands, _map_rare(bare, inert, image))
         .otherwise(bare)
     )
 
@@ -124,12 +141,13 @@ def nfkc(text: Column) -> Column:
         return batch.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
     compat, active = _composed_tables()
-    composes = text.rlike(_as_class(active))
-    wide = _as_class(sorted(map(ord, compat)))
+    inert = _inert({ord(c) for c in compat} | set(active))
+    unusual = text.rlike(f"[^{inert}]")
+    leftover = F.regexp_replace(text, f"[{inert}]+", "")
+    composes = unusual & leftover.rlike(_as_class(active))
     table = _literal_map(compat)
     return (
-        F.when(~text.rlike(r"[^\x00-\x7F]"), text)
+        F.when(~unusual, text)
         .when(composes, compose(F.when(composes, text)))
-        .when(text.rlike(wide), _map_rare(text, wide, lambda s: table[s]))
-        .otherwise(text)
+        .otherwise(_map_rare(text, inert, lambda ch: F.coalesce(table[ch], ch)))
     )

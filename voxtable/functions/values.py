@@ -51,7 +51,7 @@ def clean_platform(value: Column) -> Column:
     tidy = F.lower(strip_accents(collapse_spaces(value)))
     joined = F.replace(tidy, F.lit(" "), F.lit(""))
     doubled = F.regexp_extract(joined, "^(" + "|".join(DOUBLED_PLATFORMS) + r")\1$", 1)
-    token = F.trim(F.lit("_"), F.regexp_replace(tidy, "[^a-z0-9]+", "_"))
+    token = F.trim(F.regexp_replace(tidy, "[^a-z0-9]+", "_"), F.lit("_"))
     return or_unknown(F.when(doubled != "", doubled).otherwise(token))
 
 

@@ -28,7 +28,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line
     require_path(spark, path)
     reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
     df = reader.option("multiLine", multi_line).option("encoding", encoding).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
