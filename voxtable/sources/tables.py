@@ -47,11 +47,24 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return last
 
 
+def _ansi_pairs() -> tuple[str, str]:
+    """Characters that Latin-1 and Windows-1252 decode differently, from the codec itself."""
+    codes = [b for b in range(0x80, 0xA0) if f"{b:02X}" not in _UNDEFINED_1252]
+    return "".join(map(chr, codes)), "".join(bytes([b]).decode("cp1252") for b in codes)
+
+
 def read_csv_robust(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV in the first encoding that fits. Windows-1252 is Latin-1 with 27 characters moved."""
     require_path(spark, path)
-    # Java name of the code page; the others are known to it under their usual names.
-    encoding = {"cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(enc := detect_encoding(spark, path), enc)
-    return read_csv(spark, path, encoding, multi_line)
+    encoding = detect_encoding(spark, path)
+    if encoding == "utf-8":
+        return read_csv(spark, path, encoding, multi_line)
+    df = read_csv(spark, path, "iso-8859-1", multi_line)
+    if encoding == "latin-1":
+        return df
+    moved, meant = _ansi_pairs()
+    names = str.maketrans(moved, meant)
+    return df.select(*[F.translate(F.col(f"`{c}`"), moved, meant).alias(c.translate(names)) for c in df.columns])
 
 
 def read_table(spark: SparkSession, path: str, id_col: str) -> DataFrame:
