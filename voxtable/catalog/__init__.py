@@ -1,6 +1,6 @@
 """All queries, imported for their registration."""
 
-from voxtable.catalog import cleaning, features, profiles, tables
+from voxtable.catalog import cleaning, ensembles, features, models, profiles, tables
 from voxtable.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cleaning", "features", "profiles", "tables"]
+__all__ = ["ORACLES", "QUERIES", "cleaning", "ensembles", "features", "models", "profiles", "tables"]

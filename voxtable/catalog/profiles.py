@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxtable import lexicon as lx
 from voxtable.catalog.cleaning import docs
 from voxtable.catalog.features import COMMENT_TEXT
-from voxtable.catalog.registry import NOISY, NOT_WORD, PLATFORM, WORD, has, query, re2, squeeze, table
+from voxtable.catalog.registry import ORACLES, NOISY, NOT_WORD, PLATFORM, WORD, has, query, re2, squeeze, table
 from voxtable.functions.text import collapse_spaces
 from voxtable.operators import cleaning, profiling, relations
 from voxtable.config import CommentConfig
@@ -316,7 +316,12 @@ def unknown_platforms(spark, d):
     return rounded(profiling.unknown_platforms(docs(spark, d).withColumn("p", F.expr(PLATFORM)), "p", ["FacebookFacebook", "SRC1 Page"]), "rate")
 
 
-@query("flagship_masked_profile")
+@query(
+    "flagship_masked_profile",
+    "select lang, count(*) as rows, round(avg(length(comment)), 6) as mean_len, "
+    + ", ".join(f"round(avg(case when contains(comment, '<{t.upper()}>') then 1.0 else 0.0 end), 6)::double as {t}_rate" for t in ("phone", "email", "url", "id"))
+    + f" from ({ORACLES['c19_clean_comment']}) join (select doc_id, lang from documents) using (doc_id) group by lang",
+)
 def flagship(spark, d):
     """Per language: rows, length and share of texts holding each placeholder after cleaning."""
     cfg = CommentConfig()
