@@ -20,10 +20,13 @@ from voxtable.scale import scratch_path
 
 _WORDS = r"""g as (select doc_id, unnest(w) as term from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') as w from documents)
     union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') as w from documents))"""
-_CHARS = r"""x as (select doc_id, string_split(regexp_replace(lower(text), '\s\s+', ' ', 'g'), '') as c from documents),
-    g as (""" + " union all ".join(f"select doc_id, unnest(list_transform(range(1, len(c) - {n - 2}), lambda i: array_to_string(c[i:i + {n - 1}], ''))) as term from x" for n in (3, 4, 5)) + ")"
-_CHARS_WB = r"""w as (select doc_id, concat(' ', unnest(regexp_extract_all(lower(text), '\S+')), ' ') as w from documents), v as (select doc_id, string_split(w, '') as c from w),
-    g as (""" + " union all ".join(f"select doc_id, unnest(list_transform(range(1, len(c) - {n - 2}), lambda i: array_to_string(c[i:i + {n - 1}], ''))) as term from v" for n in (2, 3, 4, 5, 6)) + ")"
+# All windows of width n: the consecutive ones from each of the n starting offsets.
+_CHARS = r"x as (select doc_id, regexp_replace(lower(text), '\s\s+', ' ', 'g') as t from documents), g as (" + " union all ".join(
+    f"select doc_id, unnest(regexp_extract_all(substr(t, {k + 1}), '(?s).{{{n}}}')) as term from x" for n in (3, 4, 5) for k in range(n)
+) + ")"
+_CHARS_WB = r"w as (select doc_id, concat(' ', unnest(regexp_extract_all(lower(text), '\S+')), ' ') as w from documents), g as (" + " union all ".join(
+    f"select doc_id, unnest(list_transform(range(1, length(w) - {n - 2}), lambda i: substr(w, i, {n}))) as term from w" for n in (2, 3, 4, 5, 6)
+) + ")"
 
 
 def _tfidf_sql(grams: str, limit: int, tf: str) -> str:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 # Salts used to split one group over many tasks before the final pass per group.
 GROUP_SALTS = 256
+# Scanned bytes per partition where texts are cut into n-grams.
+WORK_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,12 +64,19 @@ class Lookup:
         return rows.join(side, on, how)
 
 
-def parallel_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than cores; larger scans are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores * 2:
-        return df
-    return df.repartition(cores)
+def work_partitions(df: DataFrame) -> int:
+    """Partitions for work that grows each input byte: by the size of the scanned tables.
+
+    Never fewer than the cores or the configured shuffle partitions. A fixed number also
+    keeps AQE from merging small inputs into one task before they are expanded.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    scanned = 0
+    while leaves.hasNext():
+        scanned += int(leaves.next().stats().sizeInBytes())
+    floor = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(floor, min(scanned // WORK_BYTES, 1_000_000))
 
 
 def top_k_per_group(
