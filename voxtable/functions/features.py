@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxtable import lexicon as lx
 from voxtable.config import UNK, CommentConfig
-from voxtable.regexes import java
+from voxtable.regexes import branches, java
 
+_ARABIC_LETTER, _OTHER_LETTER = re.compile("[\u0620-\u064a]"), re.compile("(?<!\\\\)[A-Za-z]|[\u2000-\U0010ffff]")
 MISSING = -1.0
 
 
@@ -65,9 +68,19 @@ def flag(condition: Column) -> Column:
     return _number(condition.cast("int"))
 
 
+def spotted(text: Column, pattern: str, ignore_case: bool = True) -> Column:
+    """Does the pattern occur? Its Arabic branches are only tried in texts with Arabic letters."""
+    arabic = [b for b in branches(pattern) if _ARABIC_LETTER.search(b) and not _OTHER_LETTER.search(b)]
+    other = [b for b in branches(pattern) if b not in arabic]
+    parts = [text.rlike(java("|".join(other), ignore_case))] if other else []
+    if arabic:
+        parts.append(text.rlike(lx.ARABIC) & text.rlike(java("|".join(arabic), ignore_case)))
+    return reduce(lambda a, b: a | b, parts)
+
+
 def keyword_flags(text: Column, specs: Iterable[tuple[str, str]]) -> dict[str, Column]:
     """One 0/1 column per (name, pattern), ignoring case."""
-    return {name: flag(text.rlike(java(pattern, ignore_case=True))) for name, pattern in specs}
+    return {name: flag(spotted(text, pattern)) for name, pattern in specs}
 
 
 def extracted_numbers(text: Column, pattern: str, hint: str) -> tuple[Column, Column]:
@@ -148,7 +161,7 @@ def columns_prefixed(columns: list[str], text: Column) -> Column:
 def intent_flags(text: Column, allowed: set[str] | None = None) -> Column:
     """Array of the ``[FLAG]`` tokens whose pattern occurs in the text."""
     shown = [(n, p, i) for n, p, i in lx.INTENT_FLAGS if allowed is None or f"[{n}]" in allowed]
-    hits = [F.when(text.rlike(java(p, ignore_case=i)), F.lit(f"[{n}]")) for n, p, i in shown]
+    hits = [F.when(spotted(text, p, i), F.lit(f"[{n}]")) for n, p, i in shown]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 

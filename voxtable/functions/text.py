@@ -65,9 +65,10 @@ def pad_tokens(text: Column, tokens) -> Column:
 
 
 def normalize_arabic(text: Column) -> Column:
-    """Drop tatweel and diacritics, unify letter variants."""
+    """Drop tatweel and diacritics, unify letter variants; texts without Arabic pass through."""
     bare = F.regexp_replace(F.replace(text, F.lit(lx.TATWEEL), F.lit("")), lx.ARABIC_MARKS, "")
-    return F.translate(bare, "".join(lx.ARABIC_VARIANTS), "".join(lx.ARABIC_VARIANTS.values()))
+    unified = F.translate(bare, "".join(lx.ARABIC_VARIANTS), "".join(lx.ARABIC_VARIANTS.values()))
+    return F.when(text.rlike(lx.ARABIC), unified).otherwise(text)
 
 
 def canonicalize_telecom(text: Column) -> Column:
@@ -79,7 +80,7 @@ def canonicalize_telecom(text: Column) -> Column:
 def split_scripts(text: Column) -> Column:
     """Space wherever Arabic and Latin letters touch."""
     a, b = lx.ARABIC, lx.LATIN
-    return F.regexp_replace(text, f"(?<={a})(?={b})|(?<={b})(?={a})", " ")
+    return F.when(text.rlike(a), F.regexp_replace(text, f"(?<={a})(?={b})|(?<={b})(?={a})", " ")).otherwise(text)
 
 
 def squash_punctuation(text: Column) -> Column:

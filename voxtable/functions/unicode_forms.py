@@ -96,9 +96,15 @@ def _map_rare(text: Column, inert: str, image) -> Column:
     return F.array_join(F.transform(pieces, lambda s: F.when(F.char_length(s) == 1, image(s)).otherwise(s)), "")
 
 
-def _literal_map(table: dict[str, str]) -> Column:
-    pairs = "\x02".join(f"{k}\x01{v}" for k, v in table.items())
-    return F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
+def _looked_up(table: dict[str, str]):
+    """Lookup of a character in one string literal of ``key SOH value STX`` entries."""
+    text = F.lit("\x02" + "\x02".join(f"{k}\x01{v}" for k, v in table.items()) + "\x02")
+
+    def image(ch: Column) -> Column:
+        key = F.concat(F.lit("\x02"), ch, F.lit("\x01"))
+        return F.when(F.contains(text, key), F.substring_index(F.call_function("substring_index", text, key, F.lit(-1)), "\x02", 1)).otherwise(ch)
+
+    return image
 
 
 def _hangul_parts(ch: Column) -> Column:
@@ -113,19 +119,31 @@ def _hangul_parts(ch: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=1)
+def _bare_parts():
+    dropped, single, expanding = _bare_tables()
+    moved = "".join(single) + "".join(dropped), "".join(single.values())
+    return moved, expanding, _inert({ord(c) for c in expanding}), _as_class(sorted(map(ord, expanding)))
+
+
+@lru_cache(maxsize=1)
+def _composed_parts():
+    compat, active = _composed_tables()
+    return compat, _inert({ord(c) for c in compat} | set(active)), _as_class(active)
+
+
 def strip_accents(text: Column) -> Column:
     """NFKD without combining marks, exact for every character and fully inside the JVM."""
-    dropped, single, expanding = _bare_tables()
-    bare = F.translate(text, "".join(single) + "".join(dropped), "".join(single.values()))
-    inert = _inert({ord(c) for c in expanding})
+    (moved, meant), expanding, inert, wide = _bare_parts()
+    bare = F.translate(text, moved, meant)
     syllables = r"[\x{AC00}-\x{D7A3}]"
-    table = _literal_map(expanding)
+    mapped = _looked_up(expanding)
 
     def image(ch: Column) -> Column:
-        return F.when(ch.rlike(syllables), _hangul_parts(ch)).otherwise(F.coalesce(table[ch], ch))
+        return F.when(ch.rlike(syllables), _hangul_parts(ch)).otherwise(mapped(ch))
 
     leftover = F.regexp_replace(text, f"[{inert}]+", "")
-    expands = text.rlike(f"[^{inert}]") & leftover.rlike(_as_class(sorted(map(ord, expanding))) + "|" + syllables)
+    expands = text.rlike(f"[^{inert}]") & leftover.rlike(f"{wide}|{syllables}")
     return (
         F.when(~text.rlike(r"[^\x00-\x7F]"), text)
         .when(expands, _map_rare(bare, inert, image))
@@ -140,14 +158,11 @@ def nfkc(text: Column) -> Column:
     def compose(batch: pd.Series) -> pd.Series:
         return batch.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
-    compat, active = _composed_tables()
-    inert = _inert({ord(c) for c in compat} | set(active))
+    compat, inert, active = _composed_parts()
     unusual = text.rlike(f"[^{inert}]")
-    leftover = F.regexp_replace(text, f"[{inert}]+", "")
-    composes = unusual & leftover.rlike(_as_class(active))
-    table = _literal_map(compat)
+    composes = unusual & F.regexp_replace(text, f"[{inert}]+", "").rlike(active)
     return (
         F.when(~unusual, text)
         .when(composes, compose(F.when(composes, text)))
-        .otherwise(_map_rare(text, inert, lambda ch: F.coalesce(table[ch], ch)))
+        .otherwise(_map_rare(text, inert, _looked_up(compat)))
     )

@@ -16,6 +16,7 @@ from voxtable.functions import text as tx
 from voxtable.functions import values as vx
 from voxtable.functions.phones import has_phone
 from voxtable.operators.schema import rename_comment_columns, rename_ticket_columns
+from voxtable.scale import spread_small
 
 
 class LeakError(ValueError):
@@ -44,7 +45,7 @@ def ticket_text_steps(cfg: TicketConfig) -> list:
 
 
 def clean_ticket_text(df: DataFrame, cfg: TicketConfig, column: str | None = None) -> DataFrame:
-    return apply_steps(df, column or cfg.text_col, ticket_text_steps(cfg))
+    return apply_steps(spread_small(df), column or cfg.text_col, ticket_text_steps(cfg))
 
 
 def comment_text_steps(cfg: CommentConfig, compat: bool = False) -> list:
@@ -90,7 +91,7 @@ def _restore_tokens(text: Column, tokens) -> Column:
 
 
 def clean_comment_text(df: DataFrame, cfg: CommentConfig, column: str | None = None, compat: bool = False) -> DataFrame:
-    return apply_steps(df, column or cfg.text_col, comment_text_steps(cfg, compat))
+    return apply_steps(spread_small(df), column or cfg.text_col, comment_text_steps(cfg, compat))
 
 
 def clean_categories(df: DataFrame, cfg: TicketConfig, columns=None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxtable import lexicon as lx
 from voxtable.config import UNK
+from voxtable.functions.features import spotted
 from voxtable.regexes import java
 from voxtable.scale import text_digest, top_k_per_group
 
@@ -202,7 +203,7 @@ def script_dominance(df: DataFrame, text_col: str, groups=(), share: float = 0.5
 
 def intent_prevalence(df: DataFrame, text_col: str, groups=()) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.groupBy(*groups).agg(*[F.avg(text.rlike(java(p, i)).cast("double")).alias(n) for n, p, i in lx.INTENT_FLAGS])
+    return df.groupBy(*groups).agg(*[F.avg(spotted(text, p, i).cast("double")).alias(n) for n, p, i in lx.INTENT_FLAGS])
 
 
 def unknown_platforms(df: DataFrame, platform_col: str, known: list[str]) -> DataFrame:

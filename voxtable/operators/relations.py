@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxtable import lexicon as lx
 from voxtable.operators.profiling import script_counts
+from voxtable.functions.features import spotted
 from voxtable.regexes import java
 from voxtable.scale import top_k_per_group
 
@@ -64,7 +65,7 @@ def script_mix(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
 
 def pattern_rates(df: DataFrame, text_col: str, label_col: str, patterns=lx.DOMAIN_PATTERNS) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rates = [F.avg(text.rlike(java(p, ignore_case)).cast("double")).alias(n) for n, p, ignore_case in patterns]
+    rates = [F.avg(spotted(text, p, ignore_case).cast("double")).alias(n) for n, p, ignore_case in patterns]
     return df.filter(F.col(label_col).isNotNull()).groupBy(label_col).agg(*rates)
 
 

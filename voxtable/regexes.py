@@ -38,7 +38,22 @@ def _first_letters(rest: str) -> str:
             starts.append(ch)
         fresh = depth == 0 and ch == "|"
         depth += (ch == "(") - (ch == ")")
-    return "".join(dict.fromkeys(starts)) if all(c.isalnum() for c in starts) else ""
+    return "".join(dict.fromkeys(starts)) if all(c.isalnum() or ord(c) > 0x2000 for c in starts) else ""
+
+
+def _peek(rest: str, ignore_case: bool) -> str:
+    """Look at the next character first: one class test instead of every branch.
+
+    The class lists both cases itself (with the long s, dotless i and Kelvin sign), because
+    a plain class is a table lookup while a case-folding one is not.
+    """
+    letters = _first_letters(rest)
+    if not letters:
+        return ""
+    if ignore_case:
+        folds = {"s": "\u017f", "i": "\u0130\u0131", "k": "\u212a"}
+        letters = "".join(dict.fromkeys(f for c in letters for f in (c, c.lower(), c.upper(), *folds.get(c.lower(), ""))))
+    return f"(?-iu:(?=[{letters}]))"
 
 
 def java(pattern: str, ignore_case: bool = False, word_inside: bool = True) -> str:
@@ -55,14 +70,14 @@ def java(pattern: str, ignore_case: bool = False, word_inside: bool = True) -> s
             code, rest = pattern[i + 1], pattern[i + 2:]
             if code == "b" and not in_class:
                 closes = rest == "" or rest[0] in "|)"
-                starts = "" if closes else _first_letters(rest)
-                peek = f"(?=[{starts}])" if starts else ""
-                outward = f"(?![{WORD}])" if closes else f"{peek}(?<![{WORD}])"
+                outward = f"(?![{WORD}])" if closes else f"{_peek(rest, ignore_case)}(?<![{WORD}])"
                 out.append(outward if word_inside else ANY_EDGE)
             else:
                 out.append((_INSIDE if in_class else _OUTSIDE).get(code, "\\" + code))
             i += 2
             continue
+        if ch == "(" and pattern.startswith("(?:", i) and (i == 0 or pattern[i - 1] == "|"):
+            out.append(_peek(pattern[i:], ignore_case))
         if ch == "[" and not in_class:
             in_class = True
         elif ch == "]" and in_class:
@@ -70,3 +85,15 @@ def java(pattern: str, ignore_case: bool = False, word_inside: bool = True) -> s
         out.append(ch)
         i += 1
     return ("(?iu)" if ignore_case else "") + "".join(out)
+
+
+def branches(pattern: str) -> list[str]:
+    """Top-level alternatives of a pattern."""
+    depth, out = 0, [""]
+    for ch in pattern:
+        depth += (ch in "([") - (ch in ")]")
+        if ch == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out

@@ -64,6 +64,27 @@ class Lookup:
         return rows.join(side, on, how)
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads, from their statistics; nothing is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(leaves.next().stats().sizeInBytes())
+    return total
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work on a small table all cores.
+
+    A table with fewer splits than cores is redistributed once; anything larger, which is
+    every table at cluster scale, keeps its splits and gets no shuffle.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scanned_bytes(df) < cores * (64 << 20) else df
+
+
 def work_partitions(df: DataFrame) -> int:
     """Partitions for work that grows each input byte: by the size of the scanned tables.
 
@@ -71,12 +92,8 @@ def work_partitions(df: DataFrame) -> int:
     keeps AQE from merging small inputs into one task before they are expanded.
     """
     spark = df.sparkSession
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    scanned = 0
-    while leaves.hasNext():
-        scanned += int(leaves.next().stats().sizeInBytes())
     floor = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(floor, min(scanned // WORK_BYTES, 1_000_000))
+    return max(floor, min(scanned_bytes(df) // WORK_BYTES, 1_000_000))
 
 
 def top_k_per_group(
