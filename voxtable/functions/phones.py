@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voxtable.functions.binding import bind
 from voxtable.lexicon import LONG_DIGITS
 from voxtable.regexes import java
 
@@ -32,18 +33,22 @@ def phone_chunks(text: Column) -> Column:
 
 def mask_phones(text: Column, token: str = "<PHONE>") -> Column:
     """Replace every chunk whose digits form a phone number; other chunks stay."""
-    around = F.split(text, CHUNK, -1)
-    masked = F.transform(phone_chunks(text), lambda c: F.when(is_phone(_digits(c)), F.lit(token)).otherwise(c))
-    joined = F.array_join(
-        F.transform(around, lambda part, i: F.concat(part, F.coalesce(F.get(masked, i), F.lit("")))), ""
-    )
-    return F.when(text.rlike(CHUNK), joined).otherwise(text)
+
+    def masked(t: Column) -> Column:
+        shown = F.transform(phone_chunks(t), lambda c: F.when(is_phone(_digits(c)), F.lit(token)).otherwise(c))
+        pairs = F.zip_with(F.split(t, CHUNK, -1), shown, lambda part, c: F.concat(part, F.coalesce(c, F.lit(""))))
+        return F.when(t.rlike(CHUNK), F.array_join(pairs, "")).otherwise(t)
+
+    return bind(text, masked)
 
 
 def has_phone(text: Column) -> Column:
     """Does a text still hold a phone number? The chunk test runs first, it is cheap."""
-    found = F.exists(phone_chunks(text), lambda c: is_phone(_digits(c)))
-    return F.when(text.rlike(CHUNK), found).otherwise(F.lit(False))
+
+    def found(t: Column) -> Column:
+        return t.rlike(CHUNK) & F.exists(phone_chunks(t), lambda c: is_phone(_digits(c)))
+
+    return bind(text, found)
 
 
 def mask_long_digits(text: Column, token: str = "<NUM>", min_digits: int = 6) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxtable import lexicon as lx
+from voxtable.functions.binding import bind
 from voxtable.functions.phones import mask_long_digits, mask_phones
 from voxtable.functions.unicode_forms import nfkc, strip_accents
 from voxtable.regexes import SPACE, java
@@ -40,7 +41,7 @@ def mask_urls(text: Column, token: str = "<URL>") -> Column:
 
 def mask_emails(text: Column, token: str = "<EMAIL>") -> Column:
     """E-mail masking; texts without an at sign skip the pattern."""
-    return F.when(text.contains("@"), F.regexp_replace(text, _EMAIL, token)).otherwise(text)
+    return bind(text, lambda t: F.when(t.contains("@"), F.regexp_replace(t, _EMAIL, token)).otherwise(t))
 
 
 def mask_pii_steps(url: str, email: str, phone: str, number: str | None, min_digits: int = 6) -> list:
@@ -66,9 +67,12 @@ def pad_tokens(text: Column, tokens) -> Column:
 
 def normalize_arabic(text: Column) -> Column:
     """Drop tatweel and diacritics, unify letter variants; texts without Arabic pass through."""
-    bare = F.regexp_replace(F.replace(text, F.lit(lx.TATWEEL), F.lit("")), lx.ARABIC_MARKS, "")
-    unified = F.translate(bare, "".join(lx.ARABIC_VARIANTS), "".join(lx.ARABIC_VARIANTS.values()))
-    return F.when(text.rlike(lx.ARABIC), unified).otherwise(text)
+
+    def unified(t: Column) -> Column:
+        bare = F.regexp_replace(F.replace(t, F.lit(lx.TATWEEL), F.lit("")), lx.ARABIC_MARKS, "")
+        return F.translate(bare, "".join(lx.ARABIC_VARIANTS), "".join(lx.ARABIC_VARIANTS.values()))
+
+    return bind(text, lambda t: F.when(t.rlike(lx.ARABIC), unified(t)).otherwise(t))
 
 
 def canonicalize_telecom(text: Column) -> Column:
@@ -80,7 +84,8 @@ def canonicalize_telecom(text: Column) -> Column:
 def split_scripts(text: Column) -> Column:
     """Space wherever Arabic and Latin letters touch."""
     a, b = lx.ARABIC, lx.LATIN
-    return F.when(text.rlike(a), F.regexp_replace(text, f"(?<={a})(?={b})|(?<={b})(?={a})", " ")).otherwise(text)
+    edge = f"(?<={a})(?={b})|(?<={b})(?={a})"
+    return bind(text, lambda t: F.when(t.rlike(a), F.regexp_replace(t, edge, " ")).otherwise(t))
 
 
 def squash_punctuation(text: Column) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from voxtable.functions.binding import bind
+
 _HANGUL = range(0xAC00, 0xD7A4)
 
 
@@ -135,20 +137,20 @@ def _composed_parts():
 def strip_accents(text: Column) -> Column:
     """NFKD without combining marks, exact for every character and fully inside the JVM."""
     (moved, meant), expanding, inert, wide = _bare_parts()
-    bare = F.translate(text, moved, meant)
     syllables = r"[\x{AC00}-\x{D7A3}]"
     mapped = _looked_up(expanding)
 
     def image(ch: Column) -> Column:
         return F.when(ch.rlike(syllables), _hangul_parts(ch)).otherwise(mapped(ch))
 
-    leftover = F.regexp_replace(text, f"[{inert}]+", "")
-    expands = text.rlike(f"[^{inert}]") & leftover.rlike(f"{wide}|{syllables}")
-    return (
-        F.when(~text.rlike(r"[^\x00-\x7F]"), text)
-        .when(expands, _map_rare(bare, inert, image))
-        .otherwise(bare)
-    )
+    def stripped(t: Column) -> Column:
+        bare = F.translate(t, moved, meant)
+        leftover = F.regexp_replace(t, f"[{inert}]+", "")
+        expands = t.rlike(f"[^{inert}]") & leftover.rlike(f"{wide}|{syllables}")
+        plain = ~t.rlike(r"[^\x00-\x7F]")
+        return F.when(plain, t).when(expands, _map_rare(bare, inert, image)).otherwise(bare)
+
+    return bind(text, stripped)
 
 
 def nfkc(text: Column) -> Column:

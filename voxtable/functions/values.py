@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxtable.config import UNK
+from voxtable.functions.binding import bind
 from voxtable.functions.text import collapse_spaces, strip_accents
 from voxtable.lexicon import BRACKET_SUFFIX, DOUBLED_PLATFORMS, PAREN_CODE
 from voxtable.regexes import java
@@ -21,15 +22,17 @@ TIME_LAYOUTS = (
 
 def or_unknown(value: Column) -> Column:
     """NULL and blank become the missing marker."""
-    return F.coalesce(F.nullif(value, F.lit("")), F.lit(UNK))
+    return bind(value, lambda v: F.coalesce(F.nullif(v, F.lit("")), F.lit(UNK)))
 
 
 def clean_category(value: Column, remove_accents: bool = True, lower: bool = True) -> Column:
     """Trim and collapse; missing becomes UNK and keeps its case."""
-    tidy = collapse_spaces(value.cast("string"))
-    shown = strip_accents(tidy) if remove_accents else tidy
-    shown = F.lower(shown) if lower else shown
-    return F.when(F.coalesce(tidy, F.lit("")).isin("", UNK), F.lit(UNK)).otherwise(shown)
+
+    def shown(v: Column) -> Column:
+        plain = strip_accents(v) if remove_accents else v
+        return F.when(F.coalesce(v, F.lit("")).isin("", UNK), F.lit(UNK)).otherwise(F.lower(plain) if lower else plain)
+
+    return bind(collapse_spaces(value.cast("string")), shown)
 
 
 def drop_bracket_suffix(value: Column) -> Column:
@@ -48,11 +51,12 @@ def trailing_code(value: Column) -> Column:
 
 def clean_platform(value: Column) -> Column:
     """Platform name as a lower-case token; doubled names are undone."""
-    tidy = F.lower(strip_accents(collapse_spaces(value)))
-    joined = F.replace(tidy, F.lit(" "), F.lit(""))
-    doubled = F.regexp_extract(joined, "^(" + "|".join(DOUBLED_PLATFORMS) + r")\1$", 1)
-    token = F.trim(F.regexp_replace(tidy, "[^a-z0-9]+", "_"), F.lit("_"))
-    return or_unknown(F.when(doubled != "", doubled).otherwise(token))
+
+    def token(v: Column) -> Column:
+        doubled = F.regexp_extract(F.replace(v, F.lit(" "), F.lit("")), "^(" + "|".join(DOUBLED_PLATFORMS) + r")\1$", 1)
+        return F.coalesce(F.nullif(doubled, F.lit("")), F.trim(F.regexp_replace(v, "[^a-z0-9]+", "_"), F.lit("_")))
+
+    return or_unknown(bind(F.lower(strip_accents(collapse_spaces(value))), token))
 
 
 def parse_time(value: Column) -> Column:
