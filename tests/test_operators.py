@@ -200,7 +200,7 @@ def test_config_and_spec_round_trip():
     ticket = TicketConfig()
     assert TicketConfig.from_dict(json.loads(json.dumps(ticket.to_dict()))) == ticket
     spec = ft.ticket_spec(ticket)
-    assert len(spec.feature_cols) == 56 and ft.read_spec(spec.to_json(), ticket) == spec
+    assert len(spec.feature_cols) == 55 and ft.read_spec(spec.to_json(), ticket) == spec
     assert len(ft.comment_spec(cfg).num_cols) == 20
     old = ft.read_spec({"text_cols": ["t"], "cat_cols": ["c"], "num_cols": []}, ticket)
     assert old.feature_cols == ["c", "t"]

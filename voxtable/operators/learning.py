@@ -125,9 +125,12 @@ def write_vectors(rows: DataFrame, id_col: str, cells: DataFrame, size: int, pat
 
 
 def one_hot_stages(columns, out_col: str = "onehot") -> Pipeline:
-    """The same encoding as MLlib stages, unseen values giving the zero vector."""
+    """The same encoding as MLlib stages.
+
+    The indexer gives unseen values the last index, and that one is dropped: zero vector.
+    """
     index = StringIndexer(inputCols=list(columns), outputCols=[f"{c}__ix" for c in columns], handleInvalid="keep", stringOrderType="alphabetAsc")
-    encode = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}__oh" for c in columns], handleInvalid="keep", dropLast=True)
+    encode = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}__oh" for c in columns], dropLast=True)
     join = VectorAssembler(inputCols=encode.getOutputCols(), outputCol=out_col)
     return Pipeline(stages=[index, encode, join])
 

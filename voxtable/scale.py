@@ -65,11 +65,15 @@ class Lookup:
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Size of the tables a plan reads, from their statistics; nothing is run."""
+    """Size of the tables a plan reads, from their statistics; nothing is run.
+
+    Leaves of unknown size (rows made in the session) report the default and are left out.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     total = 0
     while leaves.hasNext():
-        total += int(leaves.next().stats().sizeInBytes())
+        size = int(leaves.next().stats().sizeInBytes())
+        total += size if size < 1 << 62 else 0
     return total
 
 
