@@ -221,7 +221,7 @@ def test_ticket_dataset_plan(spark):
     pair = datasets.clean_ticket_dataset(train, test, template, out_dir=scratch_path(spark, "t-tickets"))
     assert pair.train.columns[:2] == ["id", "class_int"] and pair.train.columns[2:] == pair.test.columns[1:]
     assert pair.train.count() == train.count() and pair.test.count() == test.count()
-    assert pair.train.filter("subs_level = 'UNK'").count() == 0
+    assert pair.train.filter("(subs_level = 'UNK') <> (subs_level_missing = 1)").count() == 0
     assert pair.summary.count() > 50
 
 

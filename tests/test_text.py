@@ -52,6 +52,11 @@ def test_comment_stage_order(spark, compat, expected):
     assert [r.comment for r in out] == expected
 
 
+def test_phone_split_by_separators_is_masked(spark):
+    df = spark.createDataFrame([("tel 0655/462/945 ou 0559233222/0661224207",)], "comment string")
+    assert cleaning.clean_comment_text(df, CommentConfig()).first()[0] == "tel <PHONE> ou <PHONE> <PHONE>"
+
+
 def test_comment_pieces(spark):
     assert apply(spark, ["sloooow"], tx.reduce_elongations) == ["sloow"]
     assert apply(spark, ["لfibre"], tx.split_scripts) == ["ل fibre"]

@@ -120,8 +120,9 @@ _COMMENT_LAYERS = [
     gsub("x", r"(?i)(?:https?://\S+|www\.\S+)", "<URL>"),
     gsub("x", rf"(?i)(^|{NOT_WORD})({WORD}[\p{{L}}\p{{N}}_.+-]*@[\p{{L}}\p{{N}}_.-]+\.[A-Za-z]{{2,}})", r"\1<EMAIL>"),
     mask_phones("x"),
-    gsub("x", "[0-9]{6,}", "<ID>"),
     gsub("x", "[/_|]+", " "),
+    mask_phones("x"),
+    gsub("x", "[0-9]{6,}", "<ID>"),
     _ARABIC_SQL,
     "strip_accents(lower(x))",
     telecom("x"),
@@ -142,11 +143,12 @@ def clean_comment(spark, d):
 _COMPAT_LAYERS = [
     "replace(x, chr(10), ' ')",
     gsub("x", "[/_|]+", " "),
-    *_COMMENT_LAYERS[1:5],
+    *_COMMENT_LAYERS[1:4],
+    gsub("x", "[0-9]{6,}", "<ID>"),
     _ARABIC_SQL,
     "strip_accents(lower(x))",
     telecom("x"),
-    *_COMMENT_LAYERS[10:],
+    *_COMMENT_LAYERS[11:],
 ]
 
 

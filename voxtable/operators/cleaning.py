@@ -51,7 +51,8 @@ def clean_ticket_text(df: DataFrame, cfg: TicketConfig, column: str | None = Non
 def comment_text_steps(cfg: CommentConfig, compat: bool = False) -> list:
     """Comment cleaning.
 
-    Default order masks personal data first and keeps placeholders upper-case and spaced.
+    Default order masks personal data before separators are split (and numbers once more
+    after) and keeps placeholders upper-case and spaced.
     ``compat`` replaces separators before masking and lets lower-casing reach placeholders.
     """
     number = cfg.id_token if cfg.mask_long_ids else None
@@ -65,7 +66,8 @@ def comment_text_steps(cfg: CommentConfig, compat: bool = False) -> list:
     if compat:
         steps += [tx.split_separators, *masks]
     else:
-        steps += [*masks, tx.split_separators]
+        # Splitting separators can join digit groups (0655/462/945), so phones are looked for again.
+        steps += [*masks[:3], tx.split_separators, *masks[2:]]
     if cfg.normalize_arabic:
         steps.append(tx.normalize_arabic)
     if cfg.lower:
