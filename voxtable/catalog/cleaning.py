@@ -15,6 +15,7 @@ from voxtable.functions import phones as ph
 from voxtable.functions import text as tx
 from voxtable.functions import values as vx
 from voxtable.operators import checks, cleaning
+from voxtable.scale import spread_small
 from voxtable.operators.features import comment_features, ordered_comment_columns, ordered_ticket_columns, ticket_features
 
 
@@ -32,7 +33,7 @@ def step_query(name: str, fn, source: str, sql_expr: str | None):
 
     @query(name, sql)
     def run(spark, d, fn=fn, source=source):
-        return docs(spark, d).select("doc_id", F.expr(source).alias("x")).select("doc_id", fn(F.col("x")).alias("out"))
+        return spread_small(docs(spark, d).select("doc_id", F.expr(source).alias("x"))).select("doc_id", fn(F.col("x")).alias("out"))
 
 
 step_query("c1_collapse_spaces", tx.collapse_spaces, "concat('  ', replace(text, ' ', '  '), chr(9))", squeeze("x"))

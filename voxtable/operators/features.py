@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxtable import lexicon as lx
 from voxtable.config import UNK, CommentConfig, TicketConfig
 from voxtable.functions import features as fx
+from voxtable.scale import spread_small
 
 
 @dataclass(frozen=True)
@@ -76,11 +77,11 @@ def ticket_features(df: DataFrame, cfg: TicketConfig) -> DataFrame:
     made = {**fx.time_features(F.col(cfg.datetime_col)), **fx.ticket_text_features(F.col(cfg.text_col))}
     has_level = "subs_level" in df.columns
     made["subs_level_missing"] = fx.unknown_flag(F.col("subs_level")) if has_level else F.lit(None).cast("float")
-    return df.withColumns(made)
+    return spread_small(df).withColumns(made)
 
 
 def comment_features(df: DataFrame, cfg: CommentConfig) -> DataFrame:
-    out = df.withColumns(fx.comment_text_features(F.col(cfg.text_col), cfg))
+    out = spread_small(df).withColumns(fx.comment_text_features(F.col(cfg.text_col), cfg))
     return out.withColumn("n_tech_flags", fx.flag_total(name for name, _ in lx.COMMENT_KEYWORDS))
 
 
