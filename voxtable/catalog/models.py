@@ -187,7 +187,7 @@ def stratified_holdout(spark, d):
 @query("e3_out_of_fold")
 def out_of_fold(spark, d):
     scores = tm.cross_validate(
-        _labelled(spark, d), "doc_id", "text", "label", [0, 1, 2, 3], 2, "logistic", within_words=False, word_features=1000, char_features=1000
+        _labelled(spark, d), "doc_id", "text", "label", [0, 1, 2, 3], 2, "logistic", within_words=False, word_features=1000, char_features=1000, max_iter=15
     )
     return rounded(sc.argmax(scores, ("row_id", "fold", "y")).withColumnRenamed("label", "predicted"), "confidence")
 
