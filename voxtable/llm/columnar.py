@@ -28,9 +28,10 @@ def separators(chars: bytes) -> np.ndarray:
 
 
 BLANK = separators(BLANKS)
-NOT_ALNUM = separators(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
+# After A-Z are lower-cased: all ASCII but letters and digits.
+NOT_ALNUM = separators(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))[_FOLD]
 
 
 class Hasher:

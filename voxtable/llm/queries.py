@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxtable.llm import pieces, quality, token_counts
+from voxtable.llm import chat, decontam, pieces, quality, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
+@query("op4_perspective_rotation", chat.ORACLE)
+def op4_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rotate(table(spark, folder, "conversations"))
+
+
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -41,3 +47,42 @@ def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(table(spark, folder, "documents"))
+
+
+def _words_sql(name: str, key: str) -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"select {key}, coalesce(regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from {name}"
+
+
+OP9_SQL = f"""
+with items as ({_words_sql("benchmark", "item_id")}),
+docs as ({_words_sql("documents", "doc_id")}),
+places as (select item_id, w, least(13, len(w)) as size, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from items where len(w) > 0),
+windows as (select distinct cast(item_id as varchar) as item_id, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as win from places),
+spots as (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, (select distinct size from windows) where len(w) >= size),
+met as (
+  select distinct doc_id, i, spots.size, item_id from spots
+  join windows on spots.size = windows.size and array_to_string(list_slice(w, i, i + spots.size - 1), ' ') = win
+), hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from met) group by doc_id),
+listed as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as items_sha256
+  from (select distinct doc_id, item_id from met) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hit using (doc_id) left join listed using (doc_id)
+"""
+
+
+@query("op9_decontamination", OP9_SQL)
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    got = decontam.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return got.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
