@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, decontam, pieces, quality, secrets, token_counts
+from voxtable.llm import chat, decontam, neardup, pieces, quality, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,34 @@ def op4_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rotate(table(spark, folder, "conversations"))
 
 
+OP5_SQL = """
+with recursive docs as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) as w from documents
+), raw as (
+  select doc_id, array_to_string(list_slice(w, i, i + 2), ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from docs where len(w) > 0)
+), sh as (select distinct doc_id, s from raw),
+sizes as (select doc_id, count(*) as n from sh group by doc_id),
+-- Equal sets first: one member stands for them.
+keyed as (select doc_id, md5(string_agg(s, chr(10) order by s)) as k from sh group by doc_id),
+rep as (select doc_id, min(doc_id) over (partition by k) as r from keyed),
+few as (select sh.doc_id, s, n from sh join rep on rep.doc_id = sh.doc_id and rep.r = rep.doc_id join sizes on sizes.doc_id = sh.doc_id),
+shared as (
+  select a.doc_id as x, b.doc_id as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as met
+  from few a join few b on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by a.doc_id, b.doc_id
+), link as (select x, y from shared where 100 * met >= 85 * (nx + ny - met)),
+edge as (select x, y from link union select y, x from link),
+reach as (select x as node, x as seen from edge union select r.node, e.y from reach r join edge e on r.seen = e.x),
+low as (select node, min(seen) as c from reach group by node)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(c, r, d.doc_id) as component_id, coalesce(c, r, d.doc_id) = d.doc_id as kept
+from docs d left join sizes on sizes.doc_id = d.doc_id left join rep on rep.doc_id = d.doc_id left join low on low.node = rep.r
+"""
+
+
+@query("op5_near_duplicates", OP5_SQL)
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
