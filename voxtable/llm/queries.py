@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, decontam, neardup, pieces, quality, secrets, token_counts
+from voxtable.llm import chat, decontam, linededup, neardup, pieces, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, folder, "documents"))
+
+
 @query("op4_perspective_rotation", chat.ORACLE)
 def op4_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rotate(table(spark, folder, "conversations"))
@@ -114,3 +119,9 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))
