@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.llm import pieces, quality
+from voxtable.llm import decontam, linededup, neardup, pieces, quality
 from voxtable.scale import scratch_path
 
 
@@ -19,12 +19,30 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.retained(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of lines that stand in an earlier place."""
+    return linededup.without_repeats(docs, size_col="n_chars" if "n_chars" in docs.columns else None)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8), the smallest id."""
+    return neardup.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth stands in benchmark items."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
     ("quality_rules", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
     ("sentencepiece", encode_pieces),
 ]
 # The stages hold trained weights and token ids, which SQL does not express.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, decontam, linededup, neardup, pieces, quality, secrets, token_counts, toxicity
+from voxtable.llm import chat, decontam, licences, linededup, neardup, pieces, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_licence_scan")
+def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of a tree: source, language, thousand; short texts are licence files, the shorter the higher."""
+    place, n = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000)), F.length("text")
+    name = F.concat(F.lit("LICENSE-"), F.col("doc_id"))
+    path = (
+        F.when(n < 120, F.concat_ws("/", "source", name)).when(n < 240, F.concat_ws("/", "source", "lang", name))
+        .when(n < 400, F.concat_ws("/", place, name)).otherwise(F.concat_ws("/", place, F.concat("doc_id", F.lit(".txt"))))
+    )
+    return licences.scan(table(spark, folder, "documents"), path)
+
+
 @query("op2_quality_rules")
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
