@@ -4,8 +4,8 @@ A window is 13 consecutive words of a benchmark item, or a shorter item as a who
 keep the least hash of short word runs (k-grams) in every window of w runs, k + w - 1 being
 the window's length. Equal windows keep equal runs, so every shared window, and with it every
 longer shared span, is met by a joined fingerprint. A hit is then extended: the windows that
-hold the shared run are compared with the benchmark's whole windows, and every word inside a
-matching window is hit.
+keep the shared run are compared with the benchmark's whole windows, neighbouring matches run
+on both ways, and every word inside a matching window is hit.
 
 The benchmark's fingerprints are joined. While they are few enough, a bit map of them goes
 along to the documents and spares most rows the join; beyond, all fingerprints take part.
@@ -39,19 +39,15 @@ def _run_length(size: int) -> int:
     return (size + 1) // 2
 
 
-def _kept(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-grams of one window size, and which of them a window keeps."""
+def _least(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of one size its least k-gram hash, and whether it lies in one text."""
     k = _run_length(size)
-    grams = cx.gram_hashes(words, k, 900 + size)
-    kept = np.zeros(len(grams), bool)
-    whole = cx.inside(rows, size)
-    n, w = len(whole), size - k + 1
+    grams, whole = cx.gram_hashes(words, k, 900 + size), cx.inside(rows, size)
+    n = len(whole)
     least = grams[:n].copy()
-    for j in range(1, w):
+    for j in range(1, size - k + 1):
         np.minimum(least, grams[j : j + n], out=least)
-    for j in range(w):
-        kept[j : j + n] |= whole & (grams[j : j + n] == least)
-    return grams, kept
+    return least, whole
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):
@@ -73,11 +69,10 @@ def index(items: DataFrame, id_col: str = "item_id", text_col: str = "text") ->
             if not len(own):
                 continue
             size = min(WINDOW, len(own))
-            same = np.zeros(len(own), np.int64)
-            grams, kept = _kept(own, same, size)
+            marks, _ = _least(own, np.zeros(len(own), np.int64), size)
             windows = cx.gram_hashes(own, size, 700 + size).view(np.int64)
             out[i] = [{"size": size, "window": w, "fp": None} for w in np.unique(windows).tolist()]
-            out[i] += [{"size": size, "window": None, "fp": g} for g in np.unique(grams[kept]).view(np.int64).tolist()]
+            out[i] += [{"size": size, "window": None, "fp": g} for g in np.unique(marks).view(np.int64).tolist()]
         return [pa.array(out, pa.list_(pa.struct([("size", pa.int32()), ("window", pa.int64()), ("fp", pa.int64())])))]
 
     rows = cx.text_map(items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")), "text", run, "found array<struct<size:int,window:bigint,fp:bigint>>", ["item_id"])
@@ -92,7 +87,7 @@ def _bit_map(fingerprints: np.ndarray) -> np.ndarray:
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], bit_map: np.ndarray | None) -> DataFrame:
-    """Per document row its words, and the windows that hold a kept run which the map lets by."""
+    """Per document row its words, and the windows whose kept run the map lets by."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_map)
 
     def run(data, offsets):
@@ -101,27 +96,19 @@ def _found(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], bit_ma
         first = np.concatenate([[0], np.cumsum(cx.per_row(rows, n))])
         parts = []
         for size in sizes:
-            grams, kept = _kept(words, rows, size)
+            marks, kept = _least(words, rows, size)
             table = shared.value
-            if table is not None and len(grams):
-                place = grams >> np.uint64(64 - int(len(table) * 8).bit_length() + 1)
-                kept &= (table[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            at = np.flatnonzero(kept)
-            if not len(at):
+            if table is not None and len(marks):
+                place = marks >> np.uint64(64 - int(len(table) * 8).bit_length() + 1)
+                kept = kept & (table[place >> np.uint64(3)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            starts = np.flatnonzero(kept)
+            if not len(starts):
                 continue
-            # All windows of this size in which the run at ``at`` lies.
-            slack = size - _run_length(size) + 1
-            starts = (at[:, None] - np.arange(slack)).ravel()
-            runs = np.repeat(grams[at], slack)
-            whole = cx.inside(rows, size)
-            good = (starts >= 0) & (starts < len(whole))
-            good[good] = whole[starts[good]]
-            starts, order = np.unique(starts[good], return_index=True)
             windows = np.zeros(len(starts), np.uint64)
             factors = np.random.default_rng(700 + size).integers(0, (1 << 64) - 1, size, dtype=np.uint64) | np.uint64(1)
             for j in range(size):
                 windows += words[starts + j] * factors[j]
-            parts.append((starts, runs[good][order], np.full(len(starts), size), cx.mixed(windows)))
+            parts.append((starts, marks[starts], np.full(len(starts), size), cx.mixed(windows)))
         if parts:
             starts, runs, size, windows = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(starts, kind="stable")
