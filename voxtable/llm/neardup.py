@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: set size, component and whether it is the one that stays."""
     profile, found = classes(docs, id_col, text_col, words, percent, keys or [])
     rows = profile.drop("sign", "k").withColumn("class", F.xxhash64("d1", "d2"))
-    joined = rows.filter("n_shingles > 0").join(found, "class").union(rows.filter("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")).select("class", *[c for c in rows.columns if c != "class"], "component_id"))
+    joined = rows.filter("n_shingles > 0").join(found, "class", "left").union(rows.filter("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")).select("class", *[c for c in rows.columns if c != "class"], "component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     extra = [c for c in rows.columns if c.startswith("__")]
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), *extra).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
