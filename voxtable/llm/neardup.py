@@ -9,8 +9,8 @@
    once the chance of a similarity at the threshold or above is under ``MISS``. Survivors are
    verified on their full shingle sets.
 4. Buckets whose members are still in different components are settled pair by pair between
-   those components. Pairs that cannot link are never made: a shingle that no other candidate
-   has bounds a set's similarity to every other set, and sizes bound the rest.
+   those components. Pairs that cannot link are never made: shingles that few candidates have
+   bound a set's similarity to all sets that lack them, and sizes bound the rest.
 5. Components are closed by exchanging least labels with shortcuts, on written edges.
 
 Defined results: a null, empty or wordless text has an empty set, is linked with nothing and is
@@ -41,6 +41,8 @@ HASHES = BANDS * ROWS
 # Signature entries per batch, and the chance at which a true link may be dropped by them.
 BATCH = 19
 MISS = 1e-7
+# Candidates that share a shingle up to which it counts as rare.
+RARE = 16
 
 _A = np.random.default_rng(51).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = np.random.default_rng(52).integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -253,10 +255,13 @@ def classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
 
 
 def _crossing(open_: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of one bucket and two components whose sizes and shared shingles let them link.
+    """Pairs of two components whose sizes and shared shingles let them link.
 
-    Of a set of n shingles, u of them in no other candidate, at most n - u are shared. A link
-    to a set of m needs 100 s >= percent (n + m - s) with s <= n - u, so m <= most.
+    A shingle is rare if at most RARE candidates have it. Two sets of n and m shingles, r and q
+    of them rare, share s <= c + min(n - r, m - q) with c rare ones in common, and a link needs
+    100 s >= percent (n + m - s). Pairs with c > 0 come from joining the rare shingles, each with
+    few owners. For the others c = 0, so n, r and m, q alone decide: they are joined by bucket
+    and size, with the sizes that r and q still allow.
     """
     keyed = _texts_of(settled(open_.select("rep").distinct()), reps, texts)
 
@@ -265,10 +270,24 @@ def _crossing(open_: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
         return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), cx.signed(found))]
 
     shingles = cx.text_map(keyed, "text", keys, "keys array<long>", ["rep"]).dropDuplicates(["rep"]).select("rep", F.explode("keys").alias("key"))
-    alone = shingles.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1").groupBy("rep").agg(F.count("*").alias("u"))
-    shared = F.col("n") - F.coalesce("u", F.lit(0))
+    shingles = settled(shingles)
+    owners = shingles.groupBy("key").agg(F.count("*").alias("owners")).filter(F.col("owners") <= RARE)
+    rare = settled(shingles.join(owners, "key"))
+    kinds = rare.groupBy("rep").agg(F.count("*").alias("r"))
+    known = settled(open_.select("rep", "n", "comp").distinct().join(kinds, "rep", "left").withColumn("r", F.coalesce("r", F.lit(0))))
+
+    side = lambda x: known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns])
+    linked = rare.filter("owners > 1").select("key", "rep")
+    left, right = (linked.withColumnRenamed("rep", f"rep_{x}").join(side(x), f"rep_{x}") for x in "ab")
+    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b"))
+    near_sizes = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    met = left.join(right, "key").filter(apart & near_sizes).groupBy("rep_a", "rep_b", "n_a", "n_b", "r_a", "r_b").agg(F.count("*").alias("c"))
+    most_shared = F.col("c") + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
+    by_key = met.filter((100 + percent) * most_shared >= percent * (F.col("n_a") + F.col("n_b"))).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+    shared = F.col("n") - F.col("r")
     most = F.floor(((100 + percent) * shared - percent * F.col("n")) / percent)
-    sizes = open_.join(alone, "rep", "left").select("rep", "bucket", "comp", "n", F.least(most, F.floor(100 * F.col("n") / percent)).alias("most"))
+    sizes = open_.select("rep", "bucket").join(known, "rep").select("rep", "bucket", "comp", "n", F.least(most, F.floor(100 * F.col("n") / percent)).alias("most"))
     sizes = sizes.filter(100 * F.col("most") >= percent * F.col("n"))
     # A bucket's largest component is only on one side: its own pairs are settled.
     main = open_.groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
@@ -278,7 +297,8 @@ def _crossing(open_: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
     left = sizes.filter("comp <> main").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
     right = sizes.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), "main", step.alias("step"))
     fits = (F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | (F.col("cb") == F.col("main"))) & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb"))
-    return left.join(right, ["bucket", "step"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    by_size = left.join(right, ["bucket", "step"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return by_key.union(by_size).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keys: list | None = None) -> DataFrame:
