@@ -247,7 +247,7 @@ def test_streaming_equals_batch(spark):
     raw.repartition(3).write.parquet(folder)
     out = scratch_path(spark, "t-sink")
     cfg = CommentConfig(keep_raw_cols=False)
-    query = streaming.write_stream(streaming.comment_stream(streaming.read_parquet_stream(spark, folder, raw.schema, 1), cfg), out)
+    query = streaming.write_stream(streaming.comment_stream(streaming.read_parquet_stream(spark, folder, raw.schema, 1), cfg), out, scratch_path(spark, "t-mark"))
     query.awaitTermination(100)
     batch = streaming.comment_stream(spark.read.parquet(folder), cfg)
     assert spark.read.parquet(out).exceptAll(batch).count() == 0 and spark.read.parquet(out).count() == batch.count()

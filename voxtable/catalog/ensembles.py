@@ -19,19 +19,21 @@ _S = SCORES_SQL
 _WEIGHTS = {"m0": 0.5, "m1": 1.0, "m2": 0.25}
 _W = "(select * from (values ('m0', 0.5::double), ('m1', 1.0::double), ('m2', 0.25::double)) t(model, weight))"
 _ORDER = [3, 1, 0, 4]
+_MODELS = [f"m{i}" for i in range(8)]
 
 
-@query("b1_align_classes", f"select model, row_id, label, cast(case label when 3 then 0 when 1 then 1 when 0 then 2 else 3 end as integer) as label_pos, round(score, 9) as score from {_S} where label <> 2")
+@query("b1_align_classes", f"select model, row_id, label, cast(case label when 3 then 0 when 1 then 1 when 0 then 2 else 3 end as integer) as label_pos, round(score, 9) as score from {_S} where label in (0, 1, 3, 4)")
 def align_classes(spark, d):
     return rounded(sc.align_classes(scores(spark, d), _ORDER).drop("y"), "score", digits=9)
 
 
-@query("b1_missing_classes", f"select model, 7::bigint as label from (select distinct model from {_S})")
+@query("b1_missing_classes", f"select m.model, w.label from (select distinct model from {_S}) m, (select unnest([0, 1, 17])::bigint as label) w where not exists (select 1 from {_S} s where s.model = m.model and s.label = w.label)")
 def missing_classes(spark, d):
-    return sc.missing_classes(scores(spark, d), [0, 1, 7])
+    return sc.missing_classes(scores(spark, d), [0, 1, 17])
 
 
-_SUM = f"(select row_id, label, min(label_pos) as label_pos, sum(weight * score) as score from {_S} s join {_W} w using (model) group by 1, 2)"
+# Models without a weight of their own weigh 1.
+_SUM = f"(select row_id, label, min(label_pos) as label_pos, sum(coalesce(weight, 1.0) * score) as score, sum(coalesce(weight, 1.0)) as total from {_S} s left join {_W} w using (model) group by 1, 2)"
 
 
 @query("b2_weighted_sum", f"select row_id, label, label_pos, round(score, 9) as score from {_SUM}")
@@ -45,7 +47,7 @@ def fold_weights(spark, d):
     return rounded(sc.fold_weights(models, sc.model_weights(spark, {"a": 1.0, "b": 0.5})), "weight", digits=9)
 
 
-@query("b3_weighted_mean", f"select row_id, label, label_pos, round(score / 1.75, 9) as score from {_SUM}")
+@query("b3_weighted_mean", f"select row_id, label, label_pos, round(score / total, 9) as score from {_SUM}")
 def weighted_mean(spark, d):
     return rounded(sc.weighted_mean(scores(spark, d), sc.model_weights(spark, _WEIGHTS)), "score", digits=9)
 
@@ -70,12 +72,12 @@ def _pair(spark, d):
     return table_.filter("model = 'm0'"), table_.filter("model = 'm1'")
 
 
-@query("b6_blend_softmax", f"select row_id, label, min(label_pos) as label_pos, round(sum(p * case when model = 'm0' then 1.0 else 0.4 end) / 1.4, 9)::double as score from {_SOFT} where model <> 'm2' group by 1, 2")
+@query("b6_blend_softmax", f"select row_id, label, min(label_pos) as label_pos, round(sum(p * case when model = 'm0' then 1.0 else 0.4 end) / 1.4, 9)::double as score from {_SOFT} where model in ('m0', 'm1') group by 1, 2")
 def blend_softmax(spark, d):
     return rounded(sc.blend(*_pair(spark, d), 1.0, 0.4), "score", digits=9)
 
 
-@query("b6_blend_logits", f"select row_id, label, min(label_pos) as label_pos, round(sum(score * case when model = 'm0' then 1.0 else 0.4 end), 9)::double as score from {_S} where model <> 'm2' group by 1, 2")
+@query("b6_blend_logits", f"select row_id, label, min(label_pos) as label_pos, round(sum(score * case when model = 'm0' then 1.0 else 0.4 end), 9)::double as score from {_S} where model in ('m0', 'm1') group by 1, 2")
 def blend_logits(spark, d):
     return rounded(sc.blend(*_pair(spark, d), 1.0, 0.4, "logit_sum"), "score", digits=9)
 
@@ -163,14 +165,14 @@ _GRID_SQL = "(select * from (values " + ", ".join(f"('{n}', {a}::double, {b}::do
 _SWEEP = f"""with p as (select row_id, y, label, label_pos, max(case when model = 'm0' then p end) as p0, max(case when model = 'm1' then p end) as p1 from {_SOFT} group by all),
     s as (select name, row_id, y, label, label_pos, (a * p0 + b * p1) / (a + b) as v from p, {_GRID_SQL}),
     d as (select name, y, label as q from (select *, row_number() over (partition by name, row_id order by v desc, label_pos) as r from s) where r = 1),
-    f as (select name, l as label, coalesce(2 * count(*) filter (where y = l and q = l) / nullif(count(*) filter (where y = l) + count(*) filter (where q = l), 0), 0) as f1 from d, (select unnest([0, 1, 2, 3, 4]) as l) group by name, l)"""
+    f as (select name, l as label, coalesce(2 * count(*) filter (where y = l and q = l) / nullif(count(*) filter (where y = l) + count(*) filter (where q = l), 0), 0) as f1 from d, (select unnest([0, 1, 2, 3, 4, 5, 6, 7]) as l) group by name, l)"""
 
 
 def _sweep(spark, d):
     table_ = scores(spark, d)
-    rows = en.score_rows(table_.filter("model <> 'm2'"), ["m0", "m1"])
+    rows = en.score_rows(table_.filter("model in ('m0', 'm1')"), ["m0", "m1"])
     truth = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 5).cast("long").alias("y"))
-    return en.blend_sweep(rows, truth, _GRID, range(5))
+    return en.blend_sweep(rows, truth, _GRID, range(8))
 
 
 @query("b11_blend_sweep", f"{_SWEEP} select name, round(avg(f1), 9)::double as macro_f1 from f group by name")
@@ -186,12 +188,12 @@ def sweep_per_class(spark, d):
 @query("b12_greedy_ensemble")
 def greedy_ensemble(spark, d):
     truth = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 5).cast("long").alias("y"))
-    found = en.greedy_ensemble(scores(spark, d).drop("y"), truth, ["m0", "m1", "m2"], range(5), step=0.25)
+    found = en.greedy_ensemble(scores(spark, d).drop("y"), truth, _MODELS, range(8))
     # The weights found, next to the macro-F1 that scoring the whole table with them gives.
     rows = en.score_rows(scores(spark, d), list(found["weights"])).join(truth, "row_id")
     weights = F.array(*[F.lit(w) for w in found["weights"].values()])
     mixed = en.predict_cells(F.col("cells"), lambda c: F.aggregate(F.zip_with(c["s"], weights, lambda s, w: s * w), F.lit(0.0), lambda a, b: a + b))
-    f1 = en.per_class_report(rows.select("y", mixed.alias("p")), "y", "p", range(5)).agg(F.avg("f1").alias("macro_f1"))
+    f1 = en.per_class_report(rows.select("y", mixed.alias("p")), "y", "p", range(8)).agg(F.avg("f1").alias("macro_f1"))
     listed = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(w).alias("weight")) for m, w in found["weights"].items()])
     return rounded(f1.select(F.explode(listed).alias("m"), "macro_f1").select("m.model", "m.weight", "macro_f1"), "weight", "macro_f1")
 

@@ -49,19 +49,19 @@ def _tfidf(spark, d, cut, limit: int, sublinear: bool):
     )
 
 
-@query("v1_word_tfidf", _tfidf_sql(_WORDS, 5000, "(1 + ln(tf))"))
+@query("v1_word_tfidf", _tfidf_sql(_WORDS, 50_000, "(1 + ln(tf))"))
 def word_tfidf(spark, d):
-    return _tfidf(spark, d, ng.explode_word_terms, 5000, True)
+    return _tfidf(spark, d, ng.explode_word_terms, 50_000, True)
 
 
-@query("v2_char_tfidf", _tfidf_sql(_CHARS, 10000, "(1 + ln(tf))"))
+@query("v2_char_tfidf", _tfidf_sql(_CHARS, 100_000, "(1 + ln(tf))"))
 def char_tfidf(spark, d):
-    return _tfidf(spark, d, ng.explode_char_terms, 10000, True)
+    return _tfidf(spark, d, ng.explode_char_terms, 100_000, True)
 
 
-@query("v3_char_wb_tfidf", _tfidf_sql(_CHARS_WB, 10000, "tf"))
+@query("v3_char_wb_tfidf", _tfidf_sql(_CHARS_WB, 100_000, "tf"))
 def char_wb_tfidf(spark, d):
-    return _tfidf(spark, d, ng.explode_char_wb_terms, 10000, False)
+    return _tfidf(spark, d, ng.explode_char_wb_terms, 100_000, False)
 
 
 _ONE_HOT = """with c as (select o_orderkey, 'o_orderpriority' as col, o_orderpriority as value from orders union all select o_orderkey, 'o_orderstatus', o_orderstatus from orders),
@@ -102,7 +102,6 @@ def feature_union(spark, d):
 
 
 LANG_IDS = "case lang when 'de' then 0 when 'en' then 1 when 'es' then 2 else 3 end"
-OPTIONS = dict(word_features=2000, char_features=3000)
 
 
 def _labelled(spark, d):
@@ -111,7 +110,7 @@ def _labelled(spark, d):
 
 def _vectors(spark, d, sublinear: bool = True):
     df = _labelled(spark, d)
-    features = tm.TextFeatures.fit(df, "doc_id", "text", sublinear=sublinear, within_words=False, **OPTIONS)
+    features = tm.TextFeatures.fit(df, "doc_id", "text", sublinear=sublinear, within_words=False)
     ready = cat.with_class_weights(df, "label").withColumn("label_id", F.col("label").cast("int"))
     return features.vectors(ready, keep=["label_id", "weight"])
 
@@ -126,30 +125,30 @@ def _fit_scores(vectors, model, name: str, proba: bool):
 @query("v7_logistic_regression")
 def logistic_regression(spark, d):
     vectors = _vectors(spark, d)
-    return _fit_scores(vectors, ln.train_logistic(vectors, "label_id", max_iter=20), "lr", True)
+    return _fit_scores(vectors, ln.train_logistic(vectors, "label_id"), "lr", True)
 
 
 @query("v8_linear_svm")
 def linear_svm(spark, d):
     vectors = _vectors(spark, d, sublinear=False)
-    return _fit_scores(vectors, ln.train_linear_svm(vectors, "label_id", max_iter=10), "svm", False)
+    return _fit_scores(vectors, ln.train_linear_svm(vectors, "label_id"), "svm", False)
 
 
 @query("v9_boosted_trees")
 def boosted_trees(spark, d):
     df = docs(spark, d).select("doc_id", "text", "source", F.col("n_chars").cast("double").alias("n_chars"), F.expr(LANG_IDS).alias("label_id"))
-    made = ln.tree_features(df, "text", ["source"], ["n_chars"], text_dim=64).transform(df)
+    made = ln.tree_features(df, "text", ["source"], ["n_chars"]).transform(df)
     marked = sp.assign_holdout(made.select("doc_id", "label_id", "features"), "doc_id", "label_id", 0.25)
     path = scratch_path(spark, "tree-input")
     marked.write.parquet(path)
     rows = spark.read.schema(marked.schema).parquet(path)
-    model = ln.train_boosted(rows, "label_id", "is_holdout", max_iter=4, depth=3, max_bins=32)
+    model = ln.train_boosted(rows, "label_id", "is_holdout")
     return _fit_scores(rows, model, "gbt", True)
 
 
 def _saved_model(spark, d):
     vectors = _vectors(spark, d)
-    model, path = ln.train_logistic(vectors, "label_id", max_iter=10), scratch_path(spark, "model")
+    model, path = ln.train_logistic(vectors, "label_id"), scratch_path(spark, "model")
     ln.save_model(model, path, {"labels": [0, 1, 2, 3], "id_col": "doc_id"})
     return vectors, path
 
@@ -187,7 +186,7 @@ def stratified_holdout(spark, d):
 @query("e3_out_of_fold")
 def out_of_fold(spark, d):
     scores = tm.cross_validate(
-        _labelled(spark, d), "doc_id", "text", "label", [0, 1, 2, 3], 2, "logistic", within_words=False, word_features=1000, char_features=1000, max_iter=15
+        _labelled(spark, d), "doc_id", "text", "label", [0, 1, 2, 3], 3, "logistic", within_words=False
     )
     return rounded(sc.argmax(scores, ("row_id", "fold", "y")).withColumnRenamed("label", "predicted"), "confidence")
 

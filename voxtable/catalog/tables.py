@@ -183,20 +183,20 @@ def report_sink(spark, d):
     return src.read_report(spark, path, report.schema).withColumn("missing_rate", F.round("missing_rate", 9))
 
 
-# Three models scoring five classes, cut from the embedding vectors.
+# Eight models scoring eight classes: all 64 entries of the embedding vectors.
 SCORES_SQL = (
     "(select concat('m', m) as model, vec_id as row_id, cast(l as bigint) as label, cast(l as integer) as label_pos,"
-    " cast(embedding[m * 5 + l + 1] as double) * 6 as score, label % 5 as y from embeddings, range(3) t(m), range(5) u(l))"
+    " cast(embedding[m * 8 + l + 1] as double) * 6 as score, label % 5 as y from embeddings, range(8) t(m), range(8) u(l))"
 )
 
 
 def scores(spark, d):
     df = table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("row_id"), (F.col("label") % 5).alias("y"), F.posexplode(F.slice("embedding", 1, 15)).alias("i", "v")
+        F.col("vec_id").alias("row_id"), (F.col("label") % 5).alias("y"), F.posexplode("embedding").alias("i", "v")
     )
     return df.select(
-        F.concat(F.lit("m"), F.floor(F.col("i") / 5).cast("string")).alias("model"), "row_id", (F.col("i") % 5).cast("long").alias("label"),
-        (F.col("i") % 5).cast("int").alias("label_pos"), (F.col("v").cast("double") * 6).alias("score"), "y",
+        F.concat(F.lit("m"), F.floor(F.col("i") / 8).cast("string")).alias("model"), "row_id", (F.col("i") % 8).cast("long").alias("label"),
+        (F.col("i") % 8).cast("int").alias("label_pos"), (F.col("v").cast("double") * 6).alias("score"), "y",
     )
 
 
@@ -204,9 +204,9 @@ def scores(spark, d):
 def score_store(spark, d):
     path = scratch_path(spark, "scores")
     src.save_scores(scores(spark, d), path)
-    return src.load_scores(spark, path, labels=5)
+    return src.load_scores(spark, path, labels=8)
 
 
-@query("s17_score_shape", f"select model, count(distinct row_id) as n_rows, 5::bigint as n_labels, count(*) as n_cells, true as complete from {SCORES_SQL} group by model")
+@query("s17_score_shape", f"select model, count(distinct row_id) as n_rows, count(distinct label) as n_labels, count(*) as n_cells, count(*) = count(distinct row_id) * count(distinct label) as complete from {SCORES_SQL} group by model")
 def score_shape(spark, d):
     return src.score_shape(scores(spark, d))

@@ -46,7 +46,7 @@ class RareGrouping:
             names = self.kept.table.filter(F.col("col") == c).select(F.col("value").alias(c), F.lit(True).alias("__kept"))
             filled = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(self.unk)))
             stays = F.col("__kept").isNotNull() | (F.col(c) == self.unk)
-            joined = Lookup(names, self.kept.rows).join(filled, c)
+            joined = self.kept.part(names).join(filled, c)
             df = joined.select(*[
                 F.when(stays, F.col(c)).otherwise(F.lit(self.rare_token)).alias(c) if n == c else F.col(n) for n in df.columns
             ])
@@ -54,6 +54,8 @@ class RareGrouping:
 
     def report(self, train: DataFrame, test: DataFrame) -> DataFrame:
         """Distinct values before and after, and rows grouped as rare, per column."""
+        if not self.columns:
+            return train.sparkSession.createDataFrame([], "col string, train_unique_before bigint, train_unique_after bigint, n_rare_train bigint, n_rare_test bigint")
 
         def values(df: DataFrame, side: str) -> DataFrame:
             cells = F.explode(F.array(*[
@@ -67,9 +69,13 @@ class RareGrouping:
             F.sum(F.when(F.col("side") == "train", F.col("n"))).alias("train"),
             F.sum(F.when(F.col("side") == "test", F.col("n"))).alias("test"),
         )
-        kept = self.kept.table.select("col", "value", F.lit(True).alias("__kept"))
-        marked = Lookup(kept, self.kept.rows).join(seen, ["col", "value"])
-        stays = F.col("__kept").isNotNull() | (F.col("value") == self.unk)
+        if self.kept is None:
+            # Nothing is grouped: every value stays.
+            marked, stays = seen, F.lit(True)
+        else:
+            kept = self.kept.table.select("col", "value", F.lit(True).alias("__kept"))
+            marked = self.kept.part(kept).join(seen, ["col", "value"])
+            stays = F.col("__kept").isNotNull() | (F.col("value") == self.unk)
         shown = F.when(stays, F.col("value")).otherwise(F.lit(self.rare_token))
         rare = shown == self.rare_token
         return (
@@ -135,7 +141,7 @@ class EvidenceImputer:
     def transform(self, df: DataFrame, indicator: str | None = None) -> DataFrame:
         """Impute eligible missing rows and refresh the missing indicator."""
         marks = self.evidence.table.filter("eligible").select(F.col(self.group_col), F.lit(True).alias("__ok"))
-        joined = Lookup(marks, self.evidence.rows).join(df, self.group_col)
+        joined = self.evidence.part(marks).join(df, self.group_col)
         missing = F.col(self.value_col).isNull() | (F.col(self.value_col) == self.unk)
         fill = missing & F.col("__ok").isNotNull() & self.decision().select("impute").scalar()
         value = F.when(fill, F.lit(self.label)).otherwise(F.col(self.value_col))
@@ -165,16 +171,20 @@ class LabelEncoder:
             pairs = [(int(v), int(k)) for k, v in saved["id2label"].items()]
         else:
             raise ValueError("the saved mapping has no label2id and no id2label")
-        return cls(Lookup(spark.createDataFrame(sorted(pairs), "label bigint, label_id int"), len(pairs)))
+        return cls(Lookup.measured(spark.createDataFrame(sorted(pairs), "label bigint, label_id int")))
+
+    def order(self) -> list[int]:
+        """The labels by id, as a model's class positions follow them."""
+        return [r.label for r in self.mapping.table.orderBy("label_id").collect()]
 
     def encode(self, df: DataFrame, label_col: str, id_col: str = "label_id") -> DataFrame:
         table = self.mapping.table.select(F.col("label").alias("__label"), F.col("label_id").alias(id_col))
         keyed = df.withColumn("__label", to_long(F.col(label_col)))
-        return Lookup(table, self.mapping.rows).join(keyed, "__label").drop("__label")
+        return self.mapping.part(table).join(keyed, "__label").drop("__label")
 
     def decode(self, df: DataFrame, id_col: str, label_col: str = "label") -> DataFrame:
         table = self.mapping.table.select(F.col("label_id").alias(id_col), F.col("label").alias(label_col))
-        return Lookup(table, self.mapping.rows).join(df, id_col)
+        return self.mapping.part(table).join(df, id_col)
 
 
 def class_weights(df: DataFrame, label_col: str, mean_one: bool = False) -> DataFrame:

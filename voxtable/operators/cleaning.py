@@ -16,7 +16,6 @@ from voxtable.functions import text as tx
 from voxtable.functions import values as vx
 from voxtable.functions.phones import has_phone
 from voxtable.operators.schema import rename_comment_columns, rename_ticket_columns
-from voxtable.scale import spread_small
 
 
 class LeakError(ValueError):
@@ -45,7 +44,7 @@ def ticket_text_steps(cfg: TicketConfig) -> list:
 
 
 def clean_ticket_text(df: DataFrame, cfg: TicketConfig, column: str | None = None) -> DataFrame:
-    return apply_steps(spread_small(df), column or cfg.text_col, ticket_text_steps(cfg))
+    return apply_steps(df, column or cfg.text_col, ticket_text_steps(cfg))
 
 
 def comment_text_steps(cfg: CommentConfig, compat: bool = False) -> list:
@@ -93,7 +92,7 @@ def _restore_tokens(text: Column, tokens) -> Column:
 
 
 def clean_comment_text(df: DataFrame, cfg: CommentConfig, column: str | None = None, compat: bool = False) -> DataFrame:
-    return apply_steps(spread_small(df), column or cfg.text_col, comment_text_steps(cfg, compat))
+    return apply_steps(df, column or cfg.text_col, comment_text_steps(cfg, compat))
 
 
 def clean_categories(df: DataFrame, cfg: TicketConfig, columns=None) -> DataFrame:
@@ -156,14 +155,16 @@ def phone_leaks(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def require_no_phone(df: DataFrame, id_col: str, text_col: str, max_examples: int = 10) -> None:
-    found = phone_leaks(df, text_col).select(id_col, F.substring(text_col, 1, 200)).limit(max_examples).collect()
+    """Raises with the ids of some leaking rows; their text stays out of logs."""
+    found = phone_leaks(df, text_col).select(id_col).limit(max_examples).collect()
     if found:
-        raise LeakError("phone numbers left after cleaning: " + "; ".join(f"{r[0]}: {r[1]}" for r in found))
+        raise LeakError("phone numbers left after cleaning in rows: " + ", ".join(str(r[0]) for r in found))
 
 
-def gate_no_phone(df: DataFrame, text_col: str) -> DataFrame:
-    """Lazy form of the gate: the job that writes the table fails on the first leak."""
-    stop = F.raise_error(F.concat(F.lit("phone number left after cleaning: "), F.substring(text_col, 1, 200)))
+def gate_no_phone(df: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
+    """Lazy form of the gate: the job that writes the table fails on the first leak, naming its id."""
+    row = F.concat(F.lit(" in row "), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))) if id_col else F.lit("")
+    stop = F.raise_error(F.concat(F.lit("phone number left after cleaning"), row))
     leaky = has_phone(F.coalesce(F.col(text_col), F.lit("")))
     return df.withColumn(text_col, F.when(leaky, stop.cast("string")).otherwise(F.col(text_col)))
 

@@ -20,11 +20,14 @@ from voxtable.scale import checkpointed
 def score_rows(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     """One row per item: ``cells`` = array of (label_pos, label, s) in class order.
 
-    ``s`` holds the label's score under each model, in the order of ``models``.
+    ``s`` holds the label's score under each model, in the order of ``models``. A cell that a
+    model lacks is an error: no number could stand for it beside raw decision scores.
     """
+    absent = lambda m: F.raise_error(F.concat_ws(" ", F.lit(f"model {m} lacks a score of item"), F.col("row_id"), F.lit("label"), F.col("label"))).cast("double")
     per_label = scores.groupBy("row_id", "label_pos", "label").agg(
-        *[F.coalesce(F.max(F.when(F.col("model") == m, F.col("score"))), F.lit(0.0)).alias(f"m{i}") for i, m in enumerate(models)]
+        *[F.max(F.when(F.col("model") == m, F.col("score"))).alias(f"m{i}") for i, m in enumerate(models)]
     )
+    per_label = per_label.withColumns({f"m{i}": F.coalesce(F.col(f"m{i}"), absent(m)) for i, m in enumerate(models)})
     cell = F.struct("label_pos", "label", F.array(*[F.col(f"m{i}") for i in range(len(models))]).alias("s"))
     return per_label.groupBy("row_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 

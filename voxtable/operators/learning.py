@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel,
+    GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel,
 )
 from pyspark.ml.feature import HashingTF, OneHotEncoder, StringIndexer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from voxtable.config import UNK
-from voxtable.scale import Lookup, scratch_path
+from voxtable.scale import Lookup, checkpointed, scratch_path
 
 
 # ---- sparse blocks ----
@@ -44,8 +44,14 @@ class OneHot:
     @classmethod
     def fit(cls, df: DataFrame, columns):
         values = _cells(df.withColumn("__i", F.lit(0)), "__i", columns).select("col", "value").distinct()
-        # Distinct category values only; numbering them is bounded by their number.
-        numbered = values.withColumn("feature", F.row_number().over(Window.orderBy("col", "value")) - 1)
+        # Numbered inside each column; the columns before shift the numbers.
+        values = checkpointed(values)
+        sizes = {r["col"]: r["count"] for r in values.groupBy("col").count().collect()}
+        shifts, total = {}, 0
+        for c in sorted(sizes):
+            shifts[c], total = total, total + sizes[c]
+        shift = F.element_at(F.create_map(*[F.lit(x) for kv in shifts.items() for x in kv]), F.col("col")) if shifts else F.lit(0)
+        numbered = values.withColumn("feature", (F.row_number().over(Window.partitionBy("col").orderBy("value")) - 1 + shift).cast("int"))
         return cls(Lookup.settle(numbered), tuple(columns))
 
     @property
@@ -171,10 +177,16 @@ def tree_features(df: DataFrame, text_col: str, cat_cols, num_cols, text_dim: in
 
 
 def train_boosted(
-    train: DataFrame, label_col: str, valid_col: str | None = None, max_iter: int = 50, depth: int = 6, step: float = 0.1,
-    weight_col: str | None = None, parallelism: int = 2, max_bins: int = 64,
+    train: DataFrame, label_col: str, valid_col: str | None = None, max_iter: int = 20, depth: int = 5, step: float = 0.1,
+    weight_col: str | None = None, parallelism: int = 2, max_bins: int | None = None,
 ):
-    """One boosted tree ensemble per class; rows marked ``valid_col`` stop it early."""
+    """One boosted tree ensemble per class; rows marked ``valid_col`` stop it early.
+
+    By default there are 64 bins, or as many as the largest category block has values.
+    """
+    if max_bins is None:
+        nominal = train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+        max_bins = max([64, *(a.get("num_vals") or len(a.get("vals", ())) for a in nominal)])
     base = GBTClassifier(maxIter=max_iter, maxDepth=depth, stepSize=step, seed=42, maxBins=max_bins)
     if valid_col:
         base = base.setValidationIndicatorCol(valid_col)
@@ -191,12 +203,20 @@ def best_iterations(model: OneVsRestModel) -> float:
 # ---- scoring and persistence ----
 
 def score_table(model, df: DataFrame, id_col: str, labels: list[int], name: str, proba: bool) -> DataFrame:
-    """Long score table: probabilities or decision scores, class order as in ``labels``."""
+    """Long score table: probabilities or decision scores.
+
+    ``labels`` are the labels by class position, as ``LabelEncoder.order`` gives them.
+    """
+    classes = len(model.models) if isinstance(model, OneVsRestModel) else model.numClasses
+    if len(labels) != classes:
+        raise ValueError(f"{len(labels)} labels for a model of {classes} classes")
     scored = model.transform(df)
     if isinstance(model, OneVsRestModel):
         raw = vector_to_array(F.col("rawPrediction"))
-        # Per-class margins; as probabilities they are squashed and normalised.
-        squashed = F.transform(raw, lambda v: 1 / (1 + F.exp(-v)))
+        # Per-class margins; as probabilities they are squashed and normalised. Boosted trees
+        # are fitted to labels of -1 and 1, so half the log-odds is their margin.
+        slope = 2.0 if isinstance(model.models[0], GBTClassificationModel) else 1.0
+        squashed = F.transform(raw, lambda v: 1 / (1 + F.exp(-slope * v)))
         total = F.aggregate(squashed, F.lit(0.0), lambda a, b: a + b)
         values = F.transform(squashed, lambda v: v / total) if proba else raw
     else:

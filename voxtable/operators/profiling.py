@@ -15,7 +15,7 @@ from voxtable import lexicon as lx
 from voxtable.config import UNK
 from voxtable.functions.features import spotted
 from voxtable.regexes import java
-from voxtable.scale import spread_small, text_digest, top_k_per_group
+from voxtable.scale import text_digest, top_k_per_group
 
 NA = "<NA>"
 
@@ -96,7 +96,7 @@ def noise_counts(df: DataFrame, text_col: str) -> DataFrame:
         found = text.rlike(java(pattern, ignore_case, word_inside=pattern != lx.EMAIL))
         return F.count_if(text.contains("@") & found if pattern == lx.EMAIL else found).alias(name)
 
-    return spread_small(df.select(text_col)).agg(*[hit(*spec) for spec in lx.NOISE_PATTERNS])
+    return df.select(text_col).agg(*[hit(*spec) for spec in lx.NOISE_PATTERNS])
 
 
 def _histogram(df: DataFrame, value: Column, groups) -> DataFrame:
@@ -203,7 +203,7 @@ def script_dominance(df: DataFrame, text_col: str, groups=(), share: float = 0.5
 
 def intent_prevalence(df: DataFrame, text_col: str, groups=()) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return spread_small(df.select(*groups, text_col)).groupBy(*groups).agg(*[F.avg(spotted(text, p, i).cast("double")).alias(n) for n, p, i in lx.INTENT_FLAGS])
+    return df.select(*groups, text_col).groupBy(*groups).agg(*[F.avg(spotted(text, p, i).cast("double")).alias(n) for n, p, i in lx.INTENT_FLAGS])
 
 
 def unknown_platforms(df: DataFrame, platform_col: str, known: list[str]) -> DataFrame:

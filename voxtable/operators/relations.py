@@ -9,7 +9,7 @@ from voxtable import lexicon as lx
 from voxtable.operators.profiling import script_counts
 from voxtable.functions.features import spotted
 from voxtable.regexes import java
-from voxtable.scale import spread_small, top_k_per_group
+from voxtable.scale import top_k_per_group
 
 
 def crosstab(df: DataFrame, row_col: str, col_col: str) -> DataFrame:
@@ -67,7 +67,7 @@ def pattern_rates(df: DataFrame, text_col: str, label_col: str, patterns=lx.DOMA
     text = F.coalesce(F.col(text_col), F.lit(""))
     rates = [F.avg(spotted(text, p, ignore_case).cast("double")).alias(n) for n, p, ignore_case in patterns]
     kept = df.filter(F.col(label_col).isNotNull()).select(label_col, text_col)
-    return spread_small(kept).groupBy(label_col).agg(*rates)
+    return kept.groupBy(label_col).agg(*rates)
 
 
 def tokens(text: Column) -> Column:

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxtable.scale import Lookup
-
 
 class AlignmentError(ValueError):
     """A model lacks scores for a reference class."""
@@ -53,23 +51,36 @@ def auto_weights(models: DataFrame, fold_scores: DataFrame) -> DataFrame:
     )
 
 
-def _weighted(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    # One row per model: settled and counted, so the broadcast has a known size.
-    return Lookup.settle(weights.select("model", "weight")).join(scores, "model", "inner")
+# Models of one ensemble; their weights travel as literals.
+MAX_MODELS = 10_000
+
+
+def _weight_of(weights: DataFrame) -> Column:
+    """Weight by model name; a model without one weighs 1.0, as in ``fold_weights``."""
+    rows = weights.select("model", "weight").limit(MAX_MODELS + 1).collect()
+    if len(rows) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
+    if len({r.model for r in rows}) < len(rows):
+        raise ValueError("a model has several weights")
+    if not rows:
+        return F.lit(1.0)
+    known = F.create_map(*[F.lit(x) for r in rows for x in (r.model, float(r.weight))])
+    return F.coalesce(F.element_at(known, F.col("model")), F.lit(1.0))
 
 
 def weighted_sum(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Sum of weight * score over models, per item and label."""
-    joined = _weighted(scores, weights)
-    return joined.groupBy("row_id", "label").agg(
-        F.min("label_pos").alias("label_pos"), F.sum(F.col("weight") * F.col("score")).alias("score")
+    return scores.groupBy("row_id", "label").agg(
+        F.min("label_pos").alias("label_pos"), F.sum(_weight_of(weights) * F.col("score")).alias("score")
     )
 
 
 def weighted_mean(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted sum over the total weight of all models."""
-    total = weights.agg(F.greatest(F.sum("weight"), F.lit(1e-9))).scalar()
-    return weighted_sum(scores, weights).withColumn("score", F.col("score") / total)
+    """Weighted sum over the total weight of the models that score the item and label."""
+    weight = _weight_of(weights)
+    return scores.groupBy("row_id", "label").agg(
+        F.min("label_pos").alias("label_pos"), (F.sum(weight * F.col("score")) / F.greatest(F.sum(weight), F.lit(1e-9))).alias("score")
+    )
 
 
 def softmax(scores: DataFrame, keys: tuple = ("row_id", "model")) -> DataFrame:
@@ -93,8 +104,9 @@ def blend(left: DataFrame, right: DataFrame, left_weight: float, right_weight: f
     weight = F.when(F.col("model") == "left", F.lit(float(left_weight))).otherwise(F.lit(float(right_weight)))
     if method == "softmax_avg":
         weight = weight / (left_weight + right_weight)
-    return both.groupBy("row_id", "label").agg(
-        F.min("label_pos").alias("label_pos"), F.sum(weight * F.col("score")).alias("score")
+    absent = F.raise_error(F.concat(F.lit("only one side scores item "), F.col("row_id").cast("string"))).cast("double")
+    return both.groupBy("row_id", "label").agg(F.min("label_pos").alias("label_pos"), F.sum(weight * F.col("score")).alias("score"), F.count("*").alias("__n")).select(
+        "row_id", "label", "label_pos", F.when(F.col("__n") == 2, F.col("score")).otherwise(absent).alias("score")
     )
 
 

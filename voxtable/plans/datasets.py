@@ -40,7 +40,7 @@ def check_ticket_tables(train: DataFrame, test: DataFrame, template: DataFrame,
 
 def prepare_tickets(df: DataFrame, cfg: TicketConfig, is_train: bool) -> DataFrame:
     """Raw tickets to cleaned, typed, featured and ordered columns."""
-    out = gate_no_phone(clean_tickets(df, cfg), cfg.text_col)
+    out = gate_no_phone(clean_tickets(df, cfg), cfg.text_col, cfg.id_col)
     typed = {cfg.id_col: to_long(F.col(cfg.id_col))}
     if is_train and cfg.target_col in out.columns:
         typed[cfg.target_col] = to_long(F.col(cfg.target_col))
@@ -70,7 +70,7 @@ def clean_ticket_dataset(
 
 
 def prepare_comments(df: DataFrame, cfg: CommentConfig, is_train: bool, compat: bool = False) -> DataFrame:
-    out = gate_no_phone(clean_comments(df, cfg, is_train, compat), cfg.text_col)
+    out = gate_no_phone(clean_comments(df, cfg, is_train, compat), cfg.text_col, cfg.id_col)
     return ordered_comment_columns(comment_features(out, cfg), cfg, is_train)
 
 

@@ -10,12 +10,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A lookup is only broadcast when its counted rows stay under this.
-BROADCAST_ROWS = 200_000
+# A lookup is only broadcast when its measured bytes stay under this.
+BROADCAST_BYTES = 32 << 20
 # Salts used to split one group over many tasks before the final pass per group.
 GROUP_SALTS = 256
-# Scanned bytes per partition where texts are cut into n-grams.
-WORK_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,62 +40,52 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: text as it is, 16 for any other value, and the row's own overhead."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    return sum(texts, F.lit(32 + 16 * len(df.columns)).cast("long"))
+
+
 @dataclass(frozen=True)
 class Lookup:
-    """A fitted lookup table: materialised once, with its counted size."""
+    """A fitted lookup table: materialised once, with its counted rows and measured bytes."""
 
     table: DataFrame
     rows: int
+    size_bytes: int
 
     @classmethod
     def settle(cls, df: DataFrame) -> "Lookup":
-        kept = checkpointed(df)
-        return cls(kept, kept.count())
+        return cls.measured(checkpointed(df))
+
+    @classmethod
+    def measured(cls, table: DataFrame) -> "Lookup":
+        """A table that is cheap to read, such as rows made in the session."""
+        rows, size_bytes = table.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(table)), F.lit(0))).first()
+        return cls(table, rows, size_bytes)
+
+    def part(self, table: DataFrame) -> "Lookup":
+        """Columns or rows of this lookup, which are no larger than it."""
+        return Lookup(table, self.rows, self.size_bytes)
 
     @property
     def small(self) -> bool:
-        return self.rows <= BROADCAST_ROWS
+        return self.size_bytes <= BROADCAST_BYTES
 
     def join(self, rows: DataFrame, on, how: str = "left") -> DataFrame:
-        """Broadcast when the counted size allows it, otherwise a shuffle join under AQE."""
+        """Broadcast when the measured size allows it, otherwise a shuffle join under AQE."""
         side = F.broadcast(self.table) if self.small else self.table
         return rows.join(side, on, how)
 
 
-def scanned_bytes(df: DataFrame) -> int:
-    """Size of the tables a plan reads, from their statistics; nothing is run.
-
-    Leaves of unknown size (rows made in the session) report the default and are left out.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        size = int(leaves.next().stats().sizeInBytes())
-        total += size if size < 1 << 62 else 0
-    return total
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give heavy per-row work on a small table all cores.
-
-    A table with fewer splits than cores is redistributed once; anything larger, which is
-    every table at cluster scale, keeps its splits and gets no shuffle.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scanned_bytes(df) < cores * (64 << 20) else df
-
-
 def work_partitions(df: DataFrame) -> int:
-    """Partitions for work that grows each input byte: by the size of the scanned tables.
+    """Partitions for work that grows each input byte: the session's shuffle partitions.
 
-    Never fewer than the cores or the configured shuffle partitions. A fixed number also
-    keeps AQE from merging small inputs into one task before they are expanded.
+    Size them to the data; given as a fixed number they also keep AQE from merging small
+    inputs into one task before they are expanded.
     """
     spark = df.sparkSession
-    floor = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(floor, min(scanned_bytes(df) // WORK_BYTES, 1_000_000))
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def top_k_per_group(

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 from voxtable.config import CommentConfig, TicketConfig
 from voxtable.operators.cleaning import clean_comments, clean_tickets
 from voxtable.operators.features import comment_features, ticket_features
-from voxtable.scale import scratch_path
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema, max_files: int = 64) -> DataFrame:
@@ -29,8 +28,13 @@ def ticket_stream(source: DataFrame, cfg: TicketConfig | None = None) -> DataFra
     return ticket_features(clean_tickets(source, cfg), cfg)
 
 
-def write_stream(df: DataFrame, path: str, checkpoint: str | None = None, fmt: str = "parquet") -> StreamingQuery:
-    """Append to files; restarts continue from the checkpoint. Processes what is there, then stops."""
-    checkpoint = checkpoint or scratch_path(df.sparkSession, "stream")
+def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
+    """Append to files. Processes what is there, then stops.
+
+    ``checkpoint`` is a folder that stays with ``path``: every restart has to name the same one,
+    or the sink takes new batches for ones it has already written.
+    """
+    if not checkpoint:
+        raise ValueError("a checkpoint folder is required: without it a restart loses rows")
     writer = df.writeStream.format(fmt).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(availableNow=True).start(path)
