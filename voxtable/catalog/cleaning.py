@@ -340,7 +340,9 @@ def phone_leaks(spark, d):
         count(*) filter (where regexp_matches(text, '{WORD}[\p{{L}}\p{{N}}_.+-]*@[\p{{L}}\p{{N}}_.-]+\.[A-Za-z]{{2,}}($|{NOT_WORD})')) as email_leaks,
         count(*) filter (where regexp_matches(text, '[0-9]{{6,}}')) as long_digit_leaks_ge6,
         count(*) filter (where len(list_filter(regexp_extract_all(text, '\+?\d[\d\s\-.]{{6,}}\d'), lambda c: {is_phone("regexp_replace(c, '[^0-9]', '', 'g')")})) > 0) as phone_leaks,
-        count(*) filter (where lang is null) as label_missing, count(distinct lang) as n_classes
+        count(*) filter (where lang is null) as label_missing, count(distinct lang) as n_classes,
+        count(distinct doc_id) as id_unique, count(*) - count(distinct doc_id) as id_dupes,
+        (select string_agg(lang, ',' order by lang) from (select distinct lang from documents) where lang is not null) as labels_sorted
         from (select *, {PLATFORM} as p from documents)""",
 )
 def quality_report(spark, d):

@@ -109,32 +109,43 @@ def _labelled(spark, d):
 
 
 def _vectors(spark, d, sublinear: bool = True):
-    df = _labelled(spark, d)
+    df = sp.assign_holdout(_labelled(spark, d), "doc_id", "label", 0.2)
     features = tm.TextFeatures.fit(df, "doc_id", "text", sublinear=sublinear, within_words=False)
     ready = cat.with_class_weights(df, "label").withColumn("label_id", F.col("label").cast("int"))
-    return features.vectors(ready, keep=["label_id", "weight"])
+    return features.vectors(ready, keep=["label_id", "weight", "is_holdout"])
+
+
+# A model has to name the language of this share of rows it was not fitted on.
+LEAST_ACCURACY = 0.7
+_TRUTH = f"""select doc_id as row_id, y, r <= round(n * {{share}}) as is_holdout, true as accurate from (select doc_id, cast({LANG_IDS} as bigint) as y,
+    row_number() over (partition by lang order by md5(concat(doc_id, '-42')), doc_id) as r, count(*) over (partition by lang) as n from documents)"""
+
+
+def _accurate(predictions, unseen: str):
+    """Rows with their truth and whether the share of right predictions among unseen rows suffices."""
+    share = predictions.filter(unseen).agg(F.avg((F.col("label") == F.col("y")).cast("double")) >= LEAST_ACCURACY).scalar()
+    return predictions.withColumn("accurate", F.coalesce(share, F.lit(False)))
 
 
 def _fit_scores(vectors, model, name: str, proba: bool):
-    scores = ln.score_table(model, vectors, "doc_id", [0, 1, 2, 3], name, proba)
-    best = sc.argmax(scores).withColumnRenamed("label", "predicted")
-    truth = vectors.select(F.col("doc_id").alias("row_id"), F.col("label_id").cast("long").alias("y"))
-    return rounded(best.join(truth, "row_id"), "confidence")
+    best = sc.argmax(ln.score_table(model, vectors, "doc_id", [0, 1, 2, 3], name, proba))
+    truth = vectors.select(F.col("doc_id").alias("row_id"), F.col("label_id").cast("long").alias("y"), "is_holdout")
+    return _accurate(best.join(truth, "row_id"), "is_holdout").select("row_id", "y", "is_holdout", "accurate")
 
 
-@query("v7_logistic_regression")
+@query("v7_logistic_regression", _TRUTH.format(share=0.2))
 def logistic_regression(spark, d):
     vectors = _vectors(spark, d)
-    return _fit_scores(vectors, ln.train_logistic(vectors, "label_id"), "lr", True)
+    return _fit_scores(vectors, ln.train_logistic(vectors.filter("not is_holdout"), "label_id"), "lr", True)
 
 
-@query("v8_linear_svm")
+@query("v8_linear_svm", _TRUTH.format(share=0.2))
 def linear_svm(spark, d):
     vectors = _vectors(spark, d, sublinear=False)
-    return _fit_scores(vectors, ln.train_linear_svm(vectors, "label_id"), "svm", False)
+    return _fit_scores(vectors, ln.train_linear_svm(vectors.filter("not is_holdout"), "label_id"), "svm", False)
 
 
-@query("v9_boosted_trees")
+@query("v9_boosted_trees", _TRUTH.format(share=0.25))
 def boosted_trees(spark, d):
     df = docs(spark, d).select("doc_id", "text", "source", F.col("n_chars").cast("double").alias("n_chars"), F.expr(LANG_IDS).alias("label_id"))
     made = ln.tree_features(df, "text", ["source"], ["n_chars"]).transform(df)
@@ -148,26 +159,32 @@ def boosted_trees(spark, d):
 
 def _saved_model(spark, d):
     vectors = _vectors(spark, d)
-    model, path = ln.train_logistic(vectors, "label_id"), scratch_path(spark, "model")
+    model, path = ln.train_logistic(vectors.filter("not is_holdout"), "label_id"), scratch_path(spark, "model")
     ln.save_model(model, path, {"labels": [0, 1, 2, 3], "id_col": "doc_id"})
-    return vectors, path
+    return vectors, path, model
 
 
-@query("v10_saved_model")
+@query("v10_saved_model", "select count(*) as rows, 4 as classes, 4 as labels, 0.0::double as largest_change from documents")
 def saved_model(spark, d):
-    """Coefficient count and labels of a fitted model after a round trip through storage."""
-    vectors, path = _saved_model(spark, d)
+    """Classes, labels and the largest change of any score after a round trip through storage."""
+    vectors, path, fitted = _saved_model(spark, d)
     model, spec = ln.load_model(spark, path, LogisticRegressionModel)
+    before, after = (ln.score_table(m, vectors, spec["id_col"], spec["labels"], "m", True) for m in (fitted, model))
+    change = before.join(after.select("row_id", "label", F.col("score").alias("again")), ["row_id", "label"]).agg(F.max(F.abs(F.col("score") - F.col("again")))).scalar()
     return vectors.agg(F.count("*").alias("rows")).select(
-        "rows", F.lit(model.numFeatures).alias("features"), F.lit(model.numClasses).alias("classes"), F.lit(len(spec["labels"])).alias("labels")
+        "rows", F.lit(model.numClasses).alias("classes"), F.lit(len(spec["labels"])).alias("labels"), change.alias("largest_change")
     )
 
 
-@query("v11_batch_scores")
+@query("v11_batch_scores", f"select row_id, [0, 1, 2, 3] as labels, 1.0::double as total, accurate from ({_TRUTH.format(share=0.2)}) where is_holdout")
 def batch_scores(spark, d):
-    vectors, path = _saved_model(spark, d)
+    """Rows that the saved model was not fitted on, scored by the loaded one."""
+    vectors, path, _ = _saved_model(spark, d)
     model, spec = ln.load_model(spark, path, LogisticRegressionModel)
-    return rounded(ln.score_table(model, vectors, spec["id_col"], spec["labels"], "saved", True), "score")
+    scores = ln.score_table(model, vectors.filter("is_holdout"), spec["id_col"], spec["labels"], "saved", True)
+    rows = scores.groupBy("row_id").agg(F.sort_array(F.collect_set("label")).alias("labels"), F.round(F.sum("score"), 6).alias("total"))
+    best = _accurate(sc.argmax(scores).join(vectors.select(F.col("doc_id").alias("row_id"), F.col("label_id").cast("long").alias("y")), "row_id"), "true")
+    return rows.join(best.select("row_id", "accurate"), "row_id")
 
 
 _RANK = "row_number() over (partition by lang order by md5(concat(doc_id, '-42')), doc_id)"
@@ -183,12 +200,12 @@ def stratified_holdout(spark, d):
     return sp.assign_holdout(docs(spark, d).select("doc_id", "lang"), "doc_id", "lang", 0.2, 42)
 
 
-@query("e3_out_of_fold")
+@query("e3_out_of_fold", f"select doc_id as row_id, cast(({_RANK} - 1) % 3 + 1 as integer) as fold, cast({LANG_IDS} as bigint) as y, true as accurate from documents")
 def out_of_fold(spark, d):
     scores = tm.cross_validate(
         _labelled(spark, d), "doc_id", "text", "label", [0, 1, 2, 3], 3, "logistic", within_words=False
     )
-    return rounded(sc.argmax(scores, ("row_id", "fold", "y")).withColumnRenamed("label", "predicted"), "confidence")
+    return _accurate(sc.argmax(scores, ("row_id", "fold", "y")), "true").select("row_id", "fold", "y", "accurate")
 
 
 # True and predicted classes of the events, some wrong.

@@ -15,6 +15,8 @@ from voxtable.regexes import java
 from voxtable.scale import top_k_per_group
 
 EXAMPLES = 10
+# Labels that a report lists; a column with more is no label column.
+MAX_LISTED = 10_000
 
 
 class CheckError(ValueError):
@@ -131,9 +133,9 @@ def require(report: DataFrame) -> None:
 
 
 def quality_report(df: DataFrame, cfg: CommentConfig, is_train: bool) -> DataFrame:
-    """Leak and completeness counts of a cleaned comment table, in one pass.
+    """Leak and completeness counts of a cleaned comment table, its ids and its label list.
 
-    Duplicate ids need a shuffle on the id and are reported by ``id_flags``.
+    The texts are read in one pass; ids and labels are grouped on their own columns alone.
     """
     text = F.coalesce(F.col(cfg.text_col), F.lit(""))
     counts = {
@@ -150,13 +152,21 @@ def quality_report(df: DataFrame, cfg: CommentConfig, is_train: bool) -> DataFra
     if is_train:
         counts["label_missing"] = F.count_if(F.col(cfg.target_col).isNull())
         counts["n_classes"] = F.count_distinct(cfg.target_col)
-    return df.agg(*[c.alias(n) for n, c in counts.items()])
+    unique = id_flags(df, cfg.id_col).select("id_unique").scalar()
+    report = df.agg(*[c.alias(n) for n, c in counts.items()]).withColumn("id_unique", unique).withColumn("id_dupes", F.col("rows") - F.col("id_unique"))
+    if not is_train:
+        return report
+    labels = df.filter(F.col(cfg.target_col).isNotNull()).groupBy(F.col(cfg.target_col).cast("string").alias("l")).agg(F.count("*").alias("c"))
+    listed = F.array_join(F.sort_array(F.collect_set(F.when(F.col("r") <= MAX_LISTED, F.col("l")))), ",")
+    ranked = top_k_per_group(labels.withColumn("g", F.lit(0)), ["g"], [F.asc("l")], MAX_LISTED + 1, ["l"], "r")
+    many = F.raise_error(F.lit(f"more than {MAX_LISTED} labels")).cast("string")
+    return report.withColumn("labels_sorted", ranked.agg(F.when(F.count("*") > MAX_LISTED, many).otherwise(listed)).scalar())
 
 
 def require_clean(report: DataFrame) -> None:
-    """Hard assertions on a quality report: ids present, nothing leaks."""
+    """Hard assertions on a quality report: ids present and unique, nothing leaks."""
     row = report.first().asDict()
-    hard = ("id_missing", "url_leaks", "email_leaks", "phone_leaks")
+    hard = ("id_missing", "id_dupes", "url_leaks", "email_leaks", "phone_leaks")
     bad = {k: row[k] for k in hard if row[k]}
     if bad:
         raise CheckError(f"cleaned table fails: {bad}")

@@ -26,8 +26,13 @@ class CleanPair:
     summary: DataFrame
 
 
-def check_ticket_tables(train: DataFrame, test: DataFrame, template: DataFrame, cfg: TicketConfig) -> DataFrame:
-    """Column contract (raises at once) and one row per data check."""
+def check_ticket_tables(train: DataFrame, test: DataFrame, template: DataFrame, cfg: TicketConfig, pos_col: str | None = None) -> DataFrame:
+    """Column contract (raises at once) and one row per data check.
+
+    ``pos_col`` numbers the rows of ``test`` and ``template``; with it their order is compared too.
+    """
+    ordered = [checks.same_order(template, test, cfg.id_col_raw, pos_col)] if pos_col else []
+    train, test, template = (df.drop(pos_col) if pos_col else df for df in (train, test, template))
     require_contract(
         contract_rows(train.columns, test.columns, template.columns, cfg.target_col_raw, list(cfg.raw_to_canon), cfg.id_col_raw)
     )
@@ -35,7 +40,7 @@ def check_ticket_tables(train: DataFrame, test: DataFrame, template: DataFrame,
     reports = [checks.null_ids(df, i, df.columns[1] if len(df.columns) > 1 else i, f"null_id_{n}") for n, df in (("train", train), ("test", test), ("template", template))]
     reports += [checks.duplicate_ids(df, i, f"duplicate_id_{n}") for n, df in (("train", train), ("test", test))]
     reports += [checks.same_ids(template, test, i, ("template", "test")), checks.numeric_target(train, cfg.target_col_raw, i)]
-    return checks.run_all(reports)
+    return checks.run_all(reports + ordered)
 
 
 def prepare_tickets(df: DataFrame, cfg: TicketConfig, is_train: bool) -> DataFrame:
@@ -81,7 +86,10 @@ def clean_comment_dataset(
     cfg = cfg or CommentConfig()
     for name, df, is_train in (("train", train, True), ("test", test, False)):
         ids = rename_comment_columns(df, cfg, is_train)
-        checks.require(checks.duplicate_ids(ids, cfg.id_col, f"duplicate_id_{name}"))
+        found = [checks.null_ids(ids, cfg.id_col, cfg.platform_col, f"null_id_{name}"), checks.duplicate_ids(ids, cfg.id_col, f"duplicate_id_{name}")]
+        if is_train:
+            found.append(checks.numeric_target(ids, cfg.target_col, cfg.id_col))
+        checks.require(checks.run_all(found))
     a, b = prepare_comments(train, cfg, True, compat), prepare_comments(test, cfg, False, compat)
     if out_dir:
         a, b = _written(a, f"{out_dir}/train", fmt), _written(b, f"{out_dir}/test", fmt)
