@@ -82,7 +82,7 @@ def test_pruning_keeps_links_within_the_chosen_miss():
     from math import comb
 
     for percent in (80, 85, 95):
-        t, least = percent / 100, q.prune_below(percent)
+        t, least = percent / 100 + (1 - percent / 100) / 256, q.prune_below(percent)
         for n, m in zip(range(q.BATCH, q.HASHES + 1, q.BATCH), least):
             below = sum(comb(n + 1, k) * t**k * (1 - t) ** (n + 1 - k) for k in range(m))
             assert below < q.MISS <= below + comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from voxtable.scale import checkpointed
@@ -16,6 +16,13 @@ def settled(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``settled`` with its rows, which are counted while they are written."""
+    seen = Observation()
+    kept = settled(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return kept, seen.get["n"]
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """``df``, whose rows of fixed width were counted, marked for broadcast if they are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -32,9 +39,9 @@ def row_key(id_col: str, text_col: str) -> list:
 
 def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``docs`` that ``bad`` (columns __k1, __k2) does not name, columns unchanged."""
-    bad = settled(bad.select("__k1", "__k2").distinct())
+    bad, n = counted(bad.select("__k1", "__k2").distinct())
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     id_name, text_name = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     keyed = plain.select("*", *row_key(id_name, text_name))
-    return keyed.join(sized(bad, bad.count()), ["__k1", "__k2"], "left_anti").select(*names).toDF(*docs.columns)
+    return keyed.join(sized(bad, n), ["__k1", "__k2"], "left_anti").select(*names).toDF(*docs.columns)

@@ -26,11 +26,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from voxtable.llm import columnar as cx
-from voxtable.llm.joins import row_key, settled, sized, without
+from voxtable.llm.joins import counted, row_key, settled, sized, without
 
 WORDS = 5
 PERCENT = 80
@@ -42,7 +42,7 @@ HASHES = BANDS * ROWS
 BATCH = 19
 MISS = 1e-7
 # Candidates that share a shingle up to which it counts as rare.
-RARE = 16
+RARE = 64
 
 _A = np.random.default_rng(51).integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = np.random.default_rng(52).integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -51,9 +51,11 @@ _B = np.random.default_rng(52).integers(0, 1 << 32, HASHES, dtype=np.uint32)
 def prune_below(percent: int, batch: int = BATCH, miss: float = MISS, hashes: int = HASHES) -> list[int]:
     """Least matches to go on with after each batch.
 
-    P(J >= t | m of n) = P(Bin(n + 1, t) <= m) for the Beta posterior of a uniform prior.
+    P(p >= t | m of n) = P(Bin(n + 1, t) <= m) for the Beta posterior of a uniform prior. Entries
+    are compared by their lowest byte, so they agree with chance p = J + (1 - J) / 256.
     """
-    t, out = percent / 100, []
+    t = percent / 100
+    t, out = t + (1 - t) / 256, []
     for n in range(batch, hashes + 1, batch):
         total, m = 0.0, 0
         while m <= n:
@@ -137,18 +139,29 @@ def _bucketed(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sign").mapInArrow(run, "rep long, bucket long")
 
 
+def _sketches(reps: DataFrame) -> DataFrame:
+    """(rep, sketch): the lowest byte of every signature entry."""
+
+    def run(batches):
+        for batch in batches:
+            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, HASHES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in signs], pa.binary())], ["rep", "sketch"])
+
+    return reps.select("rep", "sign").mapInArrow(run, "rep long, sketch binary")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: pruned by signature, then checked on full sets."""
     pairs = settled(pairs)
-    ends = settled(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    signed = reps.select("rep", "sign").join(sized(ends, ends.count()), "rep", "left_semi")
-    both = pairs.join(signed.select(F.col("rep").alias("a"), F.col("sign").alias("sa")), "a").join(signed.select(F.col("rep").alias("b"), F.col("sign").alias("sb")), "b")
+    ends, n_ends = counted(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    signed = _sketches(reps.join(sized(ends, n_ends), "rep", "left_semi"))
+    both = pairs.join(signed.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(signed.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     least = prune_below(percent)
 
     def survive(batches):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
-            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, HASHES)
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
+            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
             left, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
             for step, m in enumerate(least):
                 cut = slice(step * BATCH, (step + 1) * BATCH)
@@ -158,13 +171,13 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(left)), batch.column(1).take(pa.array(left))], ["a", "b"])
 
     passed = settled(both.select("a", "b", "sa", "sb").mapInArrow(survive, "a long, b long"))
-    needed = settled(passed.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    needed, n_needed = counted(passed.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
 
     def sets(data, offsets):
         keys, bounds = shingle_sets(data, offsets, k)
         return [pa.array([keys[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())]
 
-    keyed = _texts_of(needed, reps, texts)
+    keyed = _texts_of(needed, n_needed, reps, texts)
     full = cx.text_map(keyed, "text", sets, "keys binary", ["rep"])
     full = settled(full.dropDuplicates(["rep"]))
     held = passed.join(full.select(F.col("rep").alias("a"), F.col("keys").alias("ka")), "a").join(full.select(F.col("rep").alias("b"), F.col("keys").alias("kb")), "b")
@@ -182,9 +195,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
     return held.select("a", "b", "ka", "kb").mapInArrow(check, "a long, b long")
 
 
-def _texts_of(needed: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _texts_of(needed: DataFrame, n: int, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The texts of some classes, by the id and content of their representatives."""
-    n = needed.count()
     chosen = settled(reps.select("rep", "doc_id", "k").join(sized(needed, n), "rep", "left_semi"))
     return texts.join(sized(chosen, n), ["doc_id", "k"])
 
@@ -195,16 +207,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars in turn, after Kiveris and others: every node hands its larger
     neighbours, then itself and its smaller ones, to its least neighbour, until nothing moves.
     """
-    edges = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges, n = counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
-    while True:
+    while n:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = settled(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        edges = settled(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        now = (seen.get["n"], seen.get["h"])
         if now == before:
             break
         before = now
@@ -246,9 +259,13 @@ def classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     open_ = member.select("rep", "bucket").join(_labelled(reps.select("rep", "n"), found), "rep")
     mixed = open_.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
     open_ = settled(open_.join(mixed, "bucket"))
-    more = settled(_verified(_crossing(open_, reps, texts, words, percent), reps, texts, words, percent))
-    if not more.isEmpty():
-        found = settled(components(links.union(more)))
+    more, n_more = counted(_verified(_crossing(open_, reps, texts, words, percent), reps, texts, words, percent))
+    if n_more:
+        # Components found so far count as nodes of the second closure.
+        joined = more.select(F.col("a").alias("rep"), "b").join(_labelled(more.select(F.col("a").alias("rep")), found).distinct(), "rep").select(F.col("comp").alias("a"), F.col("b").alias("rep"))
+        joined = joined.join(_labelled(more.select(F.col("b").alias("rep")), found).distinct(), "rep").select("a", F.col("comp").alias("b"))
+        again = components(joined).withColumnRenamed("node", "comp").withColumnRenamed("label", "final")
+        found = settled(_labelled(reps.select("rep"), found).join(again, "comp", "left").select(F.col("rep").alias("node"), F.coalesce("final", "comp").alias("label")))
     labelled = _labelled(reps.select("rep", "doc_id"), found)
     low = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return profile, labelled.join(low, "comp").select(F.col("rep").alias("class"), "component_id")
@@ -263,7 +280,7 @@ def _crossing(open_: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
     few owners. For the others c = 0, so n, r and m, q alone decide: they are joined by bucket
     and size, with the sizes that r and q still allow.
     """
-    keyed = _texts_of(settled(open_.select("rep").distinct()), reps, texts)
+    keyed = _texts_of(*counted(open_.select("rep").distinct()), reps, texts)
 
     def keys(data, offsets):
         found, bounds = shingle_sets(data, offsets, k)
