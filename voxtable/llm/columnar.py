@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text handled at once; a longer single text forms a group of its own.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 # Bytes hashed at once inside a group.
 HASH_BLOCK = 1 << 20
 

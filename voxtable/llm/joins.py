@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from voxtable.scale import checkpointed
 
-# Rows of a few numbers each; about 32 MB once hashed.
-BROADCAST_ROWS = 500_000
+# Rows of a few numbers each; about 20 MB once hashed.
+BROADCAST_ROWS = 150_000
 
 
 def settled(df: DataFrame) -> DataFrame:

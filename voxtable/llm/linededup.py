@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm import columnar as cx
-from voxtable.llm.joins import row_key, settled, sized
+from voxtable.llm.joins import counted, row_key, settled, sized
 
 MIN_WORDS = 50
 
@@ -105,11 +105,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     own = cx.text_map(slim, "text", _finder(min_words), f"found {_FOUND}", ["doc_id", "__k1", "__k2"])
     own = settled(own.filter(F.size("found") > 0).dropDuplicates(["__k1", "__k2"]))
     marks = own.select(F.explode(F.array_distinct(F.transform("found", lambda w: F.struct(w["fp"], w["spot"])))).alias("mark"))
-    shared = settled(marks.groupBy("mark.fp").agg(F.count("*").alias("places")).filter("places > 1").select("fp"))
-    spots = own.select("doc_id", "__k1", "__k2", F.inline("found")).join(sized(shared, shared.count()), "fp", "left_semi")
+    shared, n_shared = counted(marks.groupBy("mark.fp").agg(F.count("*").alias("places")).filter("places > 1").select("fp"))
+    spots = own.select("doc_id", "__k1", "__k2", F.inline("found")).join(sized(shared, n_shared), "fp", "left_semi")
     place = F.struct("doc_id", "__k1", "__k2", "at")
-    known = settled(spots.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("places")).filter("places > 1").select("w1", "w2", "first"))
-    again = spots.join(sized(known, known.count()), ["w1", "w2"]).filter(place != F.col("first"))
+    known, n_known = counted(spots.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("places")).filter("places > 1").select("w1", "w2", "first"))
+    again = spots.join(sized(known, n_known), ["w1", "w2"]).filter(place != F.col("first"))
     return again.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
@@ -129,9 +129,10 @@ _BLANKS = cx.BLANKS.decode()
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` as c0, c1, ..., then the new text, its lines and how many went."""
+    """Columns ``keep`` but the text as c0, c1, ..., then the new text, its lines and how many went."""
     spans = settled(repeats(docs, id_col, text_col, min_words))
     n_spans = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    keep = [c for c in keep if c != text_col]
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"), *row_key(id_col, text_col))
     joined = keyed.join(sized(spans, n_spans), ["__k1", "__k2"], "left").select(*[f"c{i}" for i in range(len(keep))], "text", "spans")
     n, names = len(keep), [*(f"c{i}" for i in range(len(keep))), "text", "n_lines", "n_removed_lines"]
@@ -154,7 +155,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with shortened texts; ``size_col`` follows the text's length."""
     done = _applied(docs, id_col, text_col, min_words, docs.columns)
-    return done.select(*[
-        (F.col("text") if c == text_col else F.length("text").cast(docs.schema[c].dataType) if c == size_col else F.col(f"c{i}")).alias(c)
-        for i, c in enumerate(docs.columns)
-    ])
+    place = {c: F.col(f"c{i}") for i, c in enumerate(c for c in docs.columns if c != text_col)} | {text_col: F.col("text")}
+    if size_col:
+        place[size_col] = F.length("text").cast(docs.schema[size_col].dataType)
+    return done.select(*[place[c].alias(c) for c in docs.columns])
