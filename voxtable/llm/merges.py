@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Hashable
 
 # Entries of one generation of a cache of a Python worker.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 
 class Recent(dict):
@@ -57,7 +57,7 @@ class Neighbours:
 
     def __init__(self, joined: Callable, halves: Callable):
         self.joined, self.halves = joined, halves
-        self.memo = Recent(self._check, 400_000)
+        self.memo = Recent(self._check, CACHE_ENTRIES)
 
     def _check(self, key: int) -> bool:
         left, right = key >> 24, key & 0xFFFFFF
