@@ -57,7 +57,7 @@ class Neighbours:
 
     def __init__(self, joined: Callable, halves: Callable):
         self.joined, self.halves = joined, halves
-        self.memo = Recent(self._check, CACHE_ENTRIES)
+        self.memo = Recent(self._check, CACHE_ENTRIES // 2)
 
     def _check(self, key: int) -> bool:
         left, right = key >> 24, key & 0xFFFFFF
