@@ -252,7 +252,7 @@ def nearest_classes(spark, d):
     return relations.nearest_classes(_similarity(spark, d), 3)
 
 
-@query("p19_seeded_examples")
+@query("p19_seeded_examples", "select lang as label, doc_id as id, replace(substr(text, 1, 260), chr(10), ' ') as example, r as rank from (select *, row_number() over (partition by lang order by md5(concat(doc_id, '-42')), doc_id) as r from documents) where r <= 3")
 def seeded_examples(spark, d):
     return relations.seeded_examples(docs(spark, d), "text", "lang", "doc_id")
 
@@ -270,7 +270,7 @@ _BASIC_LENGTH = " union all ".join(
 
 @query(
     "p20_basic_stats",
-    f"""{_BASIC_LENGTH} union all select 'duplicates', 'row', 0::double union all select 'duplicates', 'text', (count(*) - count(distinct text))::double from documents
+    f"""{_BASIC_LENGTH} union all select 'duplicates', 'row', ((select count(*) from documents) - (select count(*) from (select distinct * from documents)))::double union all select 'duplicates', 'text', (count(*) - count(distinct text))::double from documents
         union all (select 'platform', source, count(*)::double as n from documents group by source order by n desc, source limit 20)
         union all select 'label', lang, count(*)::double from documents group by lang""",
 )

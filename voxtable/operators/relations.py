@@ -149,7 +149,7 @@ def seeded_examples(
     shown = F.translate(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, width), "\n", " ")
     keyed = df.filter(F.col(label_col).isNotNull()).select(
         F.col(label_col).alias("label"), F.col(id_col).alias("id"), shown.alias("example"),
-        F.xxhash64(F.col(id_col), F.lit(seed)).alias("__h"),
+        F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed)))).alias("__h"),
     )
     return top_k_per_group(keyed, ["label"], [F.asc("__h"), F.asc("id")], n, ["id"], "rank").drop("__h")
 
