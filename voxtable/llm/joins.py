@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.scale import checkpointed
@@ -17,10 +17,9 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``settled`` with its rows, which are counted while they are written."""
-    seen = Observation()
-    kept = settled(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return kept, seen.get["n"]
+    """``settled`` with its number of rows."""
+    kept = settled(df)
+    return kept, kept.count()
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
