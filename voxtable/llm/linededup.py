@@ -131,10 +131,9 @@ _BLANKS = cx.BLANKS.decode()
 def _applied(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: list[str]) -> DataFrame:
     """Columns ``keep`` but the text as c0, c1, ..., then the new text, its lines and how many went."""
     spans = settled(repeats(docs, id_col, text_col, min_words))
-    n_spans = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     keep = [c for c in keep if c != text_col]
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"), *row_key(id_col, text_col))
-    joined = keyed.join(sized(spans, n_spans), ["__k1", "__k2"], "left").select(*[f"c{i}" for i in range(len(keep))], "text", "spans")
+    joined = keyed.join(spans, ["__k1", "__k2"], "left").select(*[f"c{i}" for i in range(len(keep))], "text", "spans")
     n, names = len(keep), [*(f"c{i}" for i in range(len(keep))), "text", "n_lines", "n_removed_lines"]
 
     def run(batches):
