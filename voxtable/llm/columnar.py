@@ -15,7 +15,7 @@ import pyarrow as pa
 # Bytes of text handled at once; a longer single text forms a group of its own.
 GROUP_BYTES = 1 << 19
 # Bytes hashed at once inside a group.
-HASH_BLOCK = 1 << 20
+HASH_BLOCK = 1 << 17
 
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 _MASK = (1 << 64) - 1

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Hashable
 
 # Entries of one generation of a cache of a Python worker.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 100_000
 
 
 class Recent(dict):
