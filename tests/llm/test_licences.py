@@ -71,3 +71,41 @@ def test_notices_of_the_table_are_found(spark):
     got = q.scan(docs, F.concat_ws("/", "source", F.col("doc_id").cast("string"))).join(docs.select("doc_id", "text"), "doc_id")
     assert got.filter("text rlike 'MIT License' and own_licence <> 'MIT'").count() == 0
     assert got.filter("own_licence is not null and not text rlike '(?i)licen|rights reserved'").count() == 0
+
+
+TEXTS = {k[1]: t for k, t in q.wide_templates().items() if k[0] == q.TEXT}
+GPL2 = """/*
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ */"""
+CODE = "\n".join(f"def fn{i}(x{i}): return value{i} + other{i}" for i in range(300))
+WHOLE = [
+    ("MIT License", "MIT"), ("Copyright 2020 Some Person. All rights reserved.", "Proprietary"), ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), (GPL2, "GPL-2.0"), (f"import os\n{GPL2}\n{CODE}", "GPL-2.0"),
+    (f"The MIT License (MIT)\n\nCopyright (c) 2024 Ann Other\n\n{TEXTS['MIT']}", "MIT"), (f"{CODE}\n# " + TEXTS["ISC"].replace("\n", "\n# ") + CODE, "ISC"),
+    (f"Copyright (c) 2001, Foo\nAll rights reserved.\n\n{TEXTS['BSD-2-Clause'].replace('COPYRIGHT HOLDERS', 'FOO PROJECT')}", "BSD-2-Clause"),
+    (f"Read this first.\n\n{TEXTS['GPL-3.0']}\n{CODE}", "GPL-3.0"), ("This file is licensed under the\n   Apache License,\n   Version 2.0 by us", "Apache-2.0"),
+    ("# SPDX-License-Identifier: Foo-9.9", None), ("the license of my neighbour and all rights of his", None), (CODE, None),
+]
+
+
+def test_texts_headers_and_tags_across_lines(spark):
+    docs = [(i, f"d{i}/x", t) for i, (t, _) in enumerate(WHOLE)] + [(100 + i, f"t{i}/LICENSE", TEXTS[n]) for i, n in enumerate(sorted(TEXTS))]
+    plain = [(1000 + i, f"p{i}/x", "mit den under the of plain words and all the rest") for i in range(200)]
+    rows = {r["doc_id"]: r for r in q.own_licences(spark.createDataFrame(docs + plain, "doc_id long, path string, text string").repartition(3), ["doc_id", "path"]).collect()}
+    got = [(t[:60], rows[i]["own_licence"]) for i, (t, _) in enumerate(WHOLE)]
+    assert got == [(t[:60], n) for t, n in WHOLE]
+    assert [rows[100 + i]["own_licence"] for i in range(len(TEXTS))] == sorted(TEXTS)
+    assert rows[5]["line"] == 3 and all(rows[i]["own_licence"] is None for i in range(1000, 1200))
+
+
+def test_windows_are_those_of_brute_force():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    hashes, size = draw.integers(0, 9, 400).astype(np.uint64), 17
+    idf = 1 + hashes.astype(float)
+    brute_squares = [sum((c * (1 + w)) ** 2 for w, c in Counter(hashes[i : i + size].tolist()).items()) for i in range(len(hashes) - size + 1)]
+    assert np.allclose(q._window_squares(hashes, idf, size), brute_squares)
