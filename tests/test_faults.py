@@ -119,3 +119,22 @@ def test_leak_errors_hold_no_text(spark):
     with pytest.raises(Exception) as raised:
         gate_no_phone(df, "text", "id").collect()
     assert "in row 7" in str(raised.value)
+
+
+def test_trees_are_full_size_and_measured_on_rows_apart(spark, monkeypatch):
+    import inspect
+
+    from conftest import DATA
+    from voxtable.catalog import models
+
+    sizes = inspect.signature(ln.train_boosted).parameters
+    assert sizes["max_iter"].default >= 50 and sizes["depth"].default >= 6
+    trained, measured = [], []
+    train, accurate = ln.train_boosted, models._accurate
+    monkeypatch.setattr(ln, "train_boosted", lambda rows, *args: trained.append(rows) or train(rows, *args, max_iter=1, depth=1))
+    monkeypatch.setattr(models, "_accurate", lambda rows, unseen: measured.append(rows.filter(unseen)) or accurate(rows, unseen))
+    rows = models.boosted_trees(spark, DATA)
+    used = {r["doc_id"] for r in trained[0].select("doc_id").collect()}
+    stopping = {r["doc_id"] for r in trained[0].filter("is_holdout").select("doc_id").collect()}
+    apart = {r["row_id"] for r in measured[0].select("row_id").collect()}
+    assert stopping and apart and not used & apart and len(used) + len(apart) == rows.count()
