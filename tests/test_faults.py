@@ -138,3 +138,15 @@ def test_trees_are_full_size_and_measured_on_rows_apart(spark, monkeypatch):
     stopping = {r["doc_id"] for r in trained[0].filter("is_holdout").select("doc_id").collect()}
     apart = {r["row_id"] for r in measured[0].select("row_id").collect()}
     assert stopping and apart and not used & apart and len(used) + len(apart) == rows.count()
+
+
+def test_svm_has_the_features_of_the_ticket_model(spark, monkeypatch):
+    from conftest import DATA
+    from voxtable.catalog import models
+
+    asked, fit = {}, tm.TextFeatures.fit
+    monkeypatch.setattr(tm.TextFeatures, "fit", lambda *args, **options: asked.update(options) or fit(*args, **options))
+    monkeypatch.setattr(ln, "train_linear_svm", lambda rows, label: (rows, label))
+    monkeypatch.setattr(models, "_fit_scores", lambda vectors, *_: vectors)
+    models.linear_svm(spark, DATA)
+    assert asked == {"sublinear": False, "within_words": True, "word_features": 120_000, "char_features": 250_000}

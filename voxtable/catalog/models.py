@@ -108,9 +108,9 @@ def _labelled(spark, d):
     return docs(spark, d).select("doc_id", "text", F.expr(LANG_IDS).cast("long").alias("label"))
 
 
-def _vectors(spark, d, sublinear: bool = True):
+def _vectors(spark, d, sublinear: bool = True, within_words: bool = False, **sizes):
     df = sp.assign_holdout(_labelled(spark, d), "doc_id", "label", 0.2)
-    features = tm.TextFeatures.fit(df, "doc_id", "text", sublinear=sublinear, within_words=False)
+    features = tm.TextFeatures.fit(df, "doc_id", "text", sublinear=sublinear, within_words=within_words, **sizes)
     ready = cat.with_class_weights(df, "label").withColumn("label_id", F.col("label").cast("int"))
     return features.vectors(ready, keep=["label_id", "weight", "is_holdout"])
 
@@ -141,7 +141,7 @@ def logistic_regression(spark, d):
 
 @query("v8_linear_svm", _TRUTH.format(share=0.2))
 def linear_svm(spark, d):
-    vectors = _vectors(spark, d, sublinear=False)
+    vectors = _vectors(spark, d, sublinear=False, within_words=True, word_features=120_000, char_features=250_000)
     return _fit_scores(vectors, ln.train_linear_svm(vectors.filter("not is_holdout"), "label_id"), "svm", False)
 
 
