@@ -4,7 +4,6 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -124,7 +124,7 @@ def test_leak_errors_hold_no_text(spark):
 def test_trees_are_full_size_and_measured_on_rows_apart(spark, monkeypatch):
     import inspect
 
-    from conftest import DATA
+    from given_tables import DATA
     from voxtable.catalog import models
 
     sizes = inspect.signature(ln.train_boosted).parameters
@@ -141,7 +141,7 @@ def test_trees_are_full_size_and_measured_on_rows_apart(spark, monkeypatch):
 
 
 def test_svm_has_the_features_of_the_ticket_model(spark, monkeypatch):
-    from conftest import DATA
+    from given_tables import DATA
     from voxtable.catalog import models
 
     asked, fit = {}, tm.TextFeatures.fit

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from given_tables import DATA
 from voxtable.catalog.cleaning import raw_comments, raw_tickets
 from voxtable.config import CommentConfig, TicketConfig
 from voxtable.operators import categories as cat
