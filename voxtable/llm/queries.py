@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import chat, decontam, licences, linededup, neardup, pieces, quality, secrets, token_counts, toxicity
+from voxtable.llm import chat, decontam, langid, licences, linededup, neardup, pieces, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,9 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.languages(docs, langid.train(docs))
