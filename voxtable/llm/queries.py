@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtable.llm import alignment, chat, decontam, langid, licences, linededup, neardup, pieces, quality, secrets, token_counts, toxicity
+from voxtable.llm import alignment, chat, decontam, langid, licences, linededup, neardup, phrases, pieces, quality, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,6 +145,42 @@ def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(docs, langid.train(docs))
 
 
+OP12_SQL = r"""
+with lines as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), spoken as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from lines),
+one as (select lang, x as p, count(*) as f from (select lang, unnest(w) as x from spoken) group by lang, x),
+two as (
+  select lang, p1, p2, count(*) as f from (select lang, unnest(w[:-2]) as p1, unnest(w[2:]) as p2 from spoken where len(w) > 1) group by lang, p1, p2
+), three as (
+  select lang, p1, p2, p3, count(*) as f from (select lang, unnest(w[:-3]) as p1, unnest(w[2:-2]) as p2, unnest(w[3:]) as p3 from spoken where len(w) > 2) group by lang, p1, p2, p3
+), longer as (
+  select lang, p1, p2, max(f) as f from (select lang, p1, p2, f from three where f >= 10 union all select lang, p2, p3, f from three where f >= 10) group by lang, p1, p2
+), twos as (
+  select two.lang, two.p1 || ' ' || two.p2 as phrase, two.f as a, x.f as l, y.f as r, (cast(two.f as hugeint) * two.f * 1000000) // (cast(x.f as hugeint) * y.f) as score
+  from two join one x on x.lang = two.lang and x.p = two.p1 join one y on y.lang = two.lang and y.p = two.p2
+  left join longer on longer.lang = two.lang and longer.p1 = two.p1 and longer.p2 = two.p2
+  where two.f >= 10 and (longer.f is null or 100 * longer.f < 50 * two.f)
+), cuts as (
+  select t.lang, t.p1 || ' ' || t.p2 || ' ' || t.p3 as phrase, t.f as a, x.f as l1, yz.f as r1, xy.f as l2, z.f as r2,
+    (cast(t.f as hugeint) * t.f * 1000000) // (cast(x.f as hugeint) * yz.f) as s1, (cast(t.f as hugeint) * t.f * 1000000) // (cast(xy.f as hugeint) * z.f) as s2
+  from three t join one x on x.lang = t.lang and x.p = t.p1 join one z on z.lang = t.lang and z.p = t.p3
+  join two xy on xy.lang = t.lang and xy.p1 = t.p1 and xy.p2 = t.p2 join two yz on yz.lang = t.lang and yz.p1 = t.p2 and yz.p2 = t.p3 where t.f >= 10
+), found as (
+  select * from twos union all
+  select lang, phrase, a, case when s2 < s1 then l2 else l1 end, case when s2 < s1 then r2 else r1 end, least(s1, s2) from cuts
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from found),
+sizes as (select lang, sum(f) as n from one group by lang)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked join sizes using (lang) where rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.aligned(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
