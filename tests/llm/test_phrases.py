@@ -52,7 +52,7 @@ def texts():
 
 
 def test_same_as_phrase_by_phrase(spark, texts, monkeypatch):
-    for name, small in (("BURST", 20), ("HELD", 300), ("STEP", 700), ("WORD_BITS", 12), ("MOST_BITS", 1 << 12)):
+    for name, small in (("BURST", 20), ("HELD", 300), ("STEP", 700), ("WORD_BITS", 12), ("MOST_BITS", 1 << 12), ("KEY_BITS", 13)):
         monkeypatch.setattr(q, name, small)
     df = spark.createDataFrame([(t, x, "clash") for x, t in texts], "text string, lang string, rank string").repartition(3)
     assert rows_of(q.collocations(df)) == plain(texts)
@@ -68,24 +68,28 @@ def test_whole_table_equals_the_sql(spark):
     assert rows_of(got) == sorted(con.execute(queries.ORACLES["op12_phrase_collocations"]).fetchall())
 
 
-def test_words_of_one_hash_are_counted_anew(spark, texts, monkeypatch):
-    plain_mix, tried = q._counter, []
+@pytest.mark.parametrize("parts", [1, 3])
+def test_words_of_one_hash_are_counted_anew(spark, texts, monkeypatch, parts):
+    df = spark.createDataFrame([(t, x) for x, t in texts], "text string, lang string").repartition(parts)
+    seeds, exact = [], q._exact
+    monkeypatch.setattr(q, "_exact", lambda seed, *gates: seeds.append(seed) or exact(seed, *gates))
+    groups = q._word_groups
 
-    def narrow(n, seed, gate):
-        tried.append(seed)
-        return plain_mix(n, seed, gate)
+    def clashing(batches, seed):
+        for words, *rest in groups(batches, seed):
+            yield words if seed > 61 else words & np.uint64(0xFF << 56), *rest
 
-    monkeypatch.setattr(q, "_counter", narrow)
-    df = spark.createDataFrame([(t, x) for x, t in texts], "text string, lang string").repartition(2)
-    first = q._merged
+    monkeypatch.setattr(q, "_word_groups", clashing)
+    assert rows_of(q.collocations(df)) == plain(texts) and seeds == [61, 62]
 
-    def clash(slim, n, seed, gate=None):
-        got = first(slim, n, seed, gate)
-        return got.union(got) if n == 1 and seed == 61 else got
 
-    monkeypatch.setattr(q, "_merged", clash)
-    assert rows_of(q.collocations(df)) == plain(texts)
-    assert tried == [61, 62, 62, 62]
+def test_packed_runs_come_back():
+    draw = np.random.default_rng(5)
+    for top in (3, 1 << 20, 1 << 40):
+        keys = np.unique(draw.integers(0, top, 500))
+        counts = draw.integers(1, 1 << draw.integers(1, 40), len(keys))
+        back = q.unpacked(q.packed(keys, counts))
+        assert np.array_equal(back[0], keys) and np.array_equal(back[1], counts)
 
 
 def test_trie_counts_and_spills_sorted_runs(monkeypatch):
@@ -109,12 +113,9 @@ def test_trie_counts_and_spills_sorted_runs(monkeypatch):
 
 def test_filter_lets_every_member_through(spark):
     draw = np.random.default_rng(4)
-    members = draw.integers(-(1 << 63), (1 << 63) - 1, (3000, 2))
-    df = spark.createDataFrame(members.tolist(), "a long, b long").repartition(3)
-    keys, others = members.astype(np.int64).view(np.uint64), draw.integers(0, (1 << 64) - 1, (20_000, 2), dtype=np.uint64)
-    one, two = q.bloom(df.select("a"), 3000), q.bloom(df, 3000)
-    assert one.has(keys[:, 0]).all() and two.has(q.pair_key(keys[:, 0], keys[:, 1])).all()
-    assert one.has(others[:, 0]).mean() < 0.02 and two.has(q.pair_key(others[:, 0], others[:, 1])).mean() < 0.02
+    members, others = draw.integers(0, 1 << q.KEY_BITS, 3000), draw.integers(0, 1 << q.KEY_BITS, 20_000)
+    gate = q.bloom(spark.createDataFrame([(int(x),) for x in members], "key long").repartition(3), 3000)
+    assert gate.has(members).all() and gate.has(others).mean() < 0.02
 
 
 def test_odd_rows(spark):

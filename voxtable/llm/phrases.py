@@ -1,17 +1,17 @@
 """Phrase collocations, counted in burst tries that spill sorted runs.
 
-Each task counts phrases in a trie over the digits of its own word numbers. A container at the
-trie's edge is a hash table; one that grows past ``BURST`` phrases bursts into a node with a
-container for each next digit, so the trie stays shallow and frequent beginnings get containers of
-their own. When a task holds ``HELD`` phrases it spills its largest subtrees as sorted runs, with
-word numbers replaced by hashes, and the runs are merged where the hash of the phrase sends them.
-A prefix of words may be hot, the hash of a phrase is not.
-
-Longer phrases are only counted where their parts are frequent: a Bloom filter of bounded size over
-the frequent words, then over the frequent word pairs, lets every frequent phrase through and most
-others not; wrong passes do not change a result, as all merged counts are exact and cut at the
-least count afterwards. A word is named by a 64-bit hash of its language and bytes; if two words of
-a corpus ever share one, everything is counted anew with another hash.
+A task counts in a trie over the digits of its keys. A container at the trie's edge is a hash
+table; one that grows past ``BURST`` keys bursts into a node with a container for each next digit,
+so the trie stays shallow and frequent beginnings get containers of their own. When a task holds
+``HELD`` keys it spills its largest subtrees as sorted runs, which are merged by prefix partition.
+
+Three passes over the texts use it. The first two only find out what can be frequent: words, then
+pairs of such words, are counted by the first ``KEY_BITS`` bits of their hash, and runs travel as
+packed differences of three or four bytes a key. What reaches the least count goes into a Bloom
+filter of bounded size. The last pass counts words, pairs and triples that pass the filters by word
+itself: keys are digits of the task's own word numbers, and runs name words by a 64-bit hash of
+language and bytes. Filters let every frequent phrase through; what else passes is cut off by the
+exact counts. If two words share a hash, everything is counted anew with another one.
 
 Defined results: a null text counts as empty, a null language as ``und``. Phrases never cross the
 end of a piece or of a text. Overlapping occurrences all count. Languages without a candidate have
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm import columnar as cx
-from voxtable.llm.joins import settled
-from voxtable.scale import Lookup, top_k_per_group
+from voxtable.llm.joins import counted, settled
+from voxtable.scale import Lookup, top_k_per_group, work_partitions
 
 LEAST, TOP, COVERED_PERCENT = 10, 2_000, 50
-# Bits of a task's word number and of one digit of the trie.
-WORD_BITS, DIGIT_BITS = 19, 6
+# Bits of a task's word number, of a hashed key, and of one digit of the trie.
+WORD_BITS, KEY_BITS, DIGIT_BITS = 19, 40, 6
+# Prefix partitions for each shuffle partition, so that chance deals them out evenly.
+PREFIXES = 8
 FAN = 1 << DIGIT_BITS
 # Phrases of a container before it bursts, and of a task before it spills.
 BURST, HELD = 8_192, 500_000
@@ -125,6 +127,7 @@ class Bloom:
         self.shift = np.uint64(64 - (len(words) * 64).bit_length() + 1)
 
     def places(self, keys: np.ndarray) -> list[np.ndarray]:
+        keys = keys.astype(np.uint64)
         return [cx.mixed(keys * p) >> self.shift for p in _PROBE]
 
     def add(self, keys: np.ndarray) -> None:
@@ -138,19 +141,41 @@ class Bloom:
         return found
 
 
+def word_key(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return cx.mixed(a * _LEFT + b * _RIGHT)
+    return word_key(cx.mixed(a * _LEFT + b * _RIGHT))
+
+
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sorted run: how many keys and large counts, bytes a key, differences, one byte a count, large counts."""
+    steps = np.diff(keys, prepend=0)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    large = np.flatnonzero(counts > 254)
+    head = np.array([len(keys), len(large), width], "<i8").tobytes()
+    raw = steps.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return b"".join([head, np.ascontiguousarray(raw).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes()])
+
+
+def unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, n_large, width = np.frombuffer(run, "<i8", 3).tolist()
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(run, np.uint8, n * width, 24).reshape(n, width)
+    counts = np.frombuffer(run, np.uint8, n, 24 + n * width).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(run, "<i8", n_large, 24 + n * (width + 1))
+    return np.cumsum(raw.view("<i8").ravel()), counts
 
 
 def bloom(members: DataFrame, rows: int) -> Bloom:
-    """Filter over the first one or two columns of ``members``; its size never passes MOST_BITS."""
+    """Filter over the keys of ``members``, one long column; its size never passes MOST_BITS."""
     bits = min(MOST_BITS, 1 << max(12, (MEMBER_BITS * rows).bit_length()))
 
     def run(batches):
         part = Bloom(np.zeros(bits >> 6, np.uint64))
         for batch in batches:
-            keys = [c.to_numpy().astype(np.int64).view(np.uint64) for c in batch.columns]
-            part.add(keys[0] if len(keys) == 1 else pair_key(*keys))
+            part.add(batch.column(0).to_numpy())
         used = np.flatnonzero(part.words)
         yield pa.RecordBatch.from_arrays([cx.long_column(used), cx.signed(part.words[used])], ["slot", "bits"])
 
@@ -165,24 +190,31 @@ class _Numbers:
 
     def __init__(self):
         self.of: dict[int, int] = {}
+        self.checks: list[int] = []
         self.langs: list[str] = []
         self.words: list[bytes] = []
+        self.clashes: list[tuple] = []
 
     def hashes(self) -> np.ndarray:
         return np.fromiter(self.of.keys(), np.uint64, len(self.of))  # in the order of the numbers
 
-    def look_up(self, keys: np.ndarray, describe) -> np.ndarray:
+    def look_up(self, keys: np.ndarray, checks: np.ndarray, describe: Callable) -> np.ndarray:
+        """Numbers of words by hash; ``checks`` is another hash that shows whether a word shares the first with another."""
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         of, found = self.of, []
-        for key, at in zip(unique.tolist(), first.tolist()):
+        for key, at, check in zip(unique.tolist(), first.tolist(), checks[first].tolist()):
             number = of.get(key)
             if number is None:
                 number = of[key] = len(of)
-                if describe:
-                    lang, word = describe(at)
-                    self.langs.append(lang)
-                    self.words.append(word)
+                lang, word = describe(at)
+                self.checks.append(check)
+                self.langs.append(lang)
+                self.words.append(word)
+            elif self.checks[number] != check:
+                self.clashes.append((key, *describe(at)))
             found.append(number)
+        for at in np.flatnonzero(checks != checks[first][inverse])[:1].tolist():
+            self.clashes.append((int(keys[at]), *describe(at)))
         return np.array(found, np.int64)[inverse]
 
 
@@ -191,97 +223,159 @@ def _salt(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "big"))
 
 
-def _counter(n: int, seed: int, gate):
-    """Runs of phrases of ``n`` words over batches (lang, text): word hashes, count, and for single words what they are."""
+def _word_groups(batches, seed: int):
+    """Per group of texts (columns lang, text): word hashes, which neighbours share a piece, and how to name a word and count them."""
+    hash_of, check_of = cx.hasher(seed), cx.hasher(~seed & 0xFFFF)
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for i, j, data, offsets in cx.groups(batch.column(1)):
+            starts, ends, rows = cx.spans(_APART[data], offsets)
+            if not len(starts):
+                continue
+            salts = np.array([_salt(x) for x in langs[i:j]], np.uint64)
+            words = cx.mixed(hash_of(data, starts, ends) ^ salts[rows])
+            pieces = cx.running(_BREAK[data])[starts]
+            joined = (rows[1:] == rows[:-1]) & (pieces[1:] == pieces[:-1])
 
-    def run(batches):
-        own, trie, hash_of = _Numbers(), Trie(n * WORD_BITS), cx.hasher(seed)
-        filter_ = gate.value if gate is not None else None
+            def describe(w, data=data, starts=starts, ends=ends, rows=rows, langs=langs[i:j]):
+                return langs[rows[w]], data[starts[w] : ends[w]].tobytes().lower()
+
+            def check(data=data, starts=starts, ends=ends, of_lang=salts[rows]):
+                return check_of(data, starts, ends) + of_lang
+
+            yield words, joined, describe, check, langs[i:j], cx.per_row(rows, j - i)
+
+
+def _candidates(slim: DataFrame, n: int, seed: int, gate, least: int) -> DataFrame:
+    """Keys (one long column) of words or pairs that may occur ``least`` times: whose hashed count does."""
+    prefixes = PREFIXES * work_partitions(slim)
+
+    def count(batches):
+        trie = Trie(KEY_BITS)
 
         def out(down_to=0):
-            hashes = own.hashes()
             for keys, counts in trie.spill(down_to):
-                ids = [keys >> WORD_BITS * (n - 1 - j) & (1 << WORD_BITS) - 1 for j in range(n)]
-                columns = [*(cx.signed(hashes[i]) for i in ids), cx.long_column(counts)]
-                names = [*(f"h{j + 1}" for j in range(n)), "n"]
-                if n == 1:
-                    each = ids[0].tolist()
-                    columns += [pa.array([own.langs[i] for i in each], pa.string()), pa.array([own.words[i].decode("utf-8", "replace") for i in each], pa.string())]
-                    names += ["lang", "word"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                part = keys * prefixes >> KEY_BITS if prefixes < 1 << 23 else (keys >> 17) * prefixes >> KEY_BITS - 17
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+                runs = [packed(keys[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([cx.long_column(part[cuts[:-1]]), pa.array(runs, pa.binary())], ["prefix", "run"])
+
+        for words, joined, *_ in _word_groups(batches, seed):
+            for low in range(0, len(words), STEP):
+                part = words[low : low + STEP + n - 1]
+                keys = word_key(part)
+                if n == 2:
+                    known = gate.value.has(keys)
+                    at = np.flatnonzero(known[:-1] & known[1:] & joined[low : low + STEP])
+                    keys = pair_key(part[at], part[at + 1])
+                keys.sort()
+                trie.add(keys)
+                if trie.size > HELD:
+                    yield from out(HELD // 2)
+        yield from out()
+
+    def merge(batches):
+        prefix, held = None, []
+
+        def out():
+            keys, counts = (np.concatenate(x) for x in zip(*map(unpacked, held)))
+            keys, at = np.unique(keys, return_inverse=True)
+            return pa.RecordBatch.from_arrays([cx.long_column(keys[np.bincount(at, counts) >= least])], ["key"])
 
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for i, j, data, offsets in cx.groups(batch.column(1)):
-                starts, ends, rows = cx.spans(_APART[data], offsets)
-                salts = np.array([_salt(x) for x in langs[i:j]], np.uint64)
-                words = cx.mixed(hash_of(data, starts, ends) ^ salts[rows]) if len(starts) else np.zeros(0, np.uint64)
-                pieces = cx.running(_BREAK[data])[starts]
-                joined = (rows[1:] == rows[:-1]) & (pieces[1:] == pieces[:-1])
-                for low in range(0, len(words), STEP):
-                    part, near = words[low : low + STEP + n - 1], joined[low : low + STEP + n - 2]
-                    if n == 1:
-                        at = np.arange(len(part))
-                    elif n == 2:
-                        known = filter_.has(part)
-                        at = np.flatnonzero(known[:-1] & known[1:] & near)
-                    else:
-                        pair, two = np.flatnonzero(near), np.zeros(len(near), bool)
-                        two[pair] = filter_.has(pair_key(part[pair], part[pair + 1]))
-                        at = np.flatnonzero(two[:-1] & two[1:])
-                    if not len(at):
-                        continue
-                    if len(own.of) + len(part) >= 1 << WORD_BITS:
-                        yield from out()
-                        own = _Numbers()
-                    inside = np.zeros(len(part), bool)
-                    for k in range(n):
-                        inside[at + k] = True
-                    used = np.flatnonzero(inside)
-
-                    def describe(k, used=used, low=low, starts=starts, ends=ends, rows=rows, data=data, i=i):
-                        w = int(used[k]) + low
-                        return langs[i + int(rows[w])], data[starts[w] : ends[w]].tobytes().lower()
-
-                    numbers = np.zeros(len(part), np.int64)
-                    numbers[used] = own.look_up(part[used], describe if n == 1 else None)
+            for p, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and p != prefix:
+                    yield out()
+                    held = []
+                prefix = p
+                held.append(run)
+        if held:
+            yield out()
+
+    runs = slim.mapInArrow(count, "prefix long, run binary").repartition("prefix").sortWithinPartitions("prefix")
+    return runs.mapInArrow(merge, "key long")
+
+
+_COUNTS = "h1 long, h2 long, h3 long, lang string, word string, n long"
+
+
+def _exact(seed: int, words_gate, pairs_gate):
+    """Runs over batches (lang, text): counts of words, pairs and triples that pass the filters, and of all words by language."""
+    names = [f.split()[0] for f in _COUNTS.split(", ")]
+
+    def run(batches):
+        own, tries, sizes = _Numbers(), [Trie(n * WORD_BITS) for n in (1, 2, 3)], Counter()
+
+        def out(down_to=0):
+            hashes = own.hashes()
+            for n, trie in enumerate(tries, 1):
+                for keys, counts in trie.spill(down_to):
+                    ids = [keys >> WORD_BITS * (n - 1 - j) & (1 << WORD_BITS) - 1 for j in range(n)]
+                    empty = pa.nulls(len(keys), pa.int64())
+                    columns = [*(cx.signed(hashes[i]) for i in ids), *[empty] * (3 - n)]
+                    each = ids[0].tolist() if n == 1 else []
+                    for known in ([own.langs[i] for i in each], [own.words[i].decode("utf-8", "replace") for i in each]):
+                        columns.append(pa.array(known, pa.string()) if n == 1 else pa.nulls(len(keys), pa.string()))
+                    yield pa.RecordBatch.from_arrays([*columns, cx.long_column(counts)], names)
+            if own.clashes:
+                keys, others, spelt = zip(*own.clashes)
+                empty = pa.nulls(len(keys), pa.int64())
+                columns = [cx.signed(np.array(keys, np.uint64)), empty, empty, pa.array(others, pa.string()), pa.array([w.decode("utf-8", "replace") for w in spelt], pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, cx.long_column(np.zeros(len(keys), np.int64))], names)
+                own.clashes.clear()
+
+        for words, joined, describe, check, langs, in_row in _word_groups(batches, seed):
+            checks = check()
+            for lang, size in zip(langs, in_row.tolist()):
+                sizes[lang] += size
+            for low in range(0, len(words), STEP):
+                part, near = words[low : low + STEP + 2], joined[low : low + STEP + 1]
+                here = min(STEP, len(part))  # where phrases of this step begin
+                known = words_gate.value.has(word_key(part))
+                pair, two = np.flatnonzero(near & known[:-1] & known[1:]), np.zeros(len(part), bool)
+                two[pair] = pairs_gate.value.has(pair_key(part[pair], part[pair + 1]))
+                begins = [np.flatnonzero(x[:here]) for x in (known, two, two[:-1] & two[1:])]
+                if len(own.of) + len(part) >= 1 << WORD_BITS:
+                    yield from out()
+                    own = _Numbers()
+                used = np.flatnonzero(known)
+                numbers = np.zeros(len(part), np.int64)
+                numbers[used] = own.look_up(part[used], checks[used + low], lambda k, used=used, low=low, name=describe: name(int(used[k]) + low))
+                for n, (trie, at) in enumerate(zip(tries, begins), 1):
                     keys = numbers[at]
                     for k in range(1, n):
                         keys = keys << WORD_BITS | numbers[at + k]
                     keys.sort()
                     trie.add(keys)
-                    if trie.size > HELD:
-                        yield from out(HELD // 2)
+                if sum(t.size for t in tries) > HELD:
+                    yield from out(HELD // 6)
         yield from out()
+        none = [pa.nulls(len(sizes), pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([*none, pa.array(list(sizes), pa.string()), pa.nulls(len(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64())], names)
 
     return run
 
 
-def _merged(slim: DataFrame, n: int, seed: int, gate=None) -> DataFrame:
-    """Exact counts of phrases of ``n`` words, from the tasks' runs."""
-    keys = [f"h{j + 1}" for j in range(n)]
-    extra = ["lang", "word"] if n == 1 else []
-    runs = slim.mapInArrow(_counter(n, seed, gate), ", ".join([*(f"{k} long" for k in keys), "n long", *(f"{x} string" for x in extra)]))
-    return runs.repartition(*keys).groupBy(*keys, *extra).agg(F.sum("n").alias("n"))
-
-
-def frequencies(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, first_seed: int = 61) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Words (h1, lang, word, n) in all; words, pairs (h1, h2, n) and triples (h1, h2, h3, n) that occur ``least`` times."""
+def frequencies(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, seed: int = 61) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Languages (lang, n) with all their words; and words (h1, lang, word, n), pairs (h1, h2, n) and triples (h1, h2, h3, n) that occur ``least`` times."""
     slim = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    context, seed = docs.sparkSession.sparkContext, first_seed
+    context = docs.sparkSession.sparkContext
     while True:
-        words = settled(_merged(slim, 1, seed))
+        gates: list = [None]
+        for n in (1, 2):
+            gates.append(context.broadcast(bloom(*counted(_candidates(slim, n, seed, gates[-1], least)))))
+        keys = ["h1", "h2", "h3"]
+        sums = slim.mapInArrow(_exact(seed, *gates[1:]), _COUNTS).repartition(*keys).groupBy(*keys, "lang", "word").agg(F.sum("n").alias("n"))
+        # Rare words that passed stay, to see whether one shares the hash of a frequent word.
+        found = settled(sums.filter((F.col("n") >= least) | F.col("h2").isNull()))
+        words = found.filter("h1 is not null and h2 is null").select("h1", "lang", "word", "n")
         if not words.groupBy("h1").count().filter("count > 1").limit(1).count():
             break
         seed += 1
-    frequent = settled(words.filter(F.col("n") >= least))
-    counted = []
-    members = frequent.select("h1")
-    for n in (2, 3):
-        gate = context.broadcast(bloom(members, members.count()))
-        counted.append(settled(_merged(slim, n, seed, gate).filter(F.col("n") >= least)))
-        members = counted[-1].select("h1", "h2")
-    return words, frequent, counted[0], counted[1]
+    return (
+        found.filter("h1 is null").select("lang", "n"), words.filter(F.col("n") >= least),
+        found.filter("h2 is not null and h3 is null").select("h1", "h2", "n"), found.filter("h3 is not null").select("h1", "h2", "h3", "n"),
+    )
 
 
 def _score(a: str, left: str, right: str):
@@ -294,7 +388,7 @@ def collocations(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, per_lang: int = TOP, covered_percent: int = COVERED_PERCENT,
 ) -> DataFrame:
     """The first ``per_lang`` phrases of two and three words of each language by score, with counts of the parts of their weakest cut."""
-    words, frequent, pairs, triples = frequencies(docs, lang_col, text_col, least)
+    sizes, frequent, pairs, triples = frequencies(docs, lang_col, text_col, least)
     known = Lookup.measured(frequent)
 
     def with_word(df: DataFrame, j: int, more: list | None = None) -> DataFrame:
@@ -316,5 +410,4 @@ def collocations(
     three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", pick("f12", "f1").alias("l"), pick("f3", "f23").alias("r"), pick("s2", "s1").alias("score"))
 
     best = top_k_per_group(two.union(three), ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], per_lang, ["phrase"], "rank")
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
