@@ -5,9 +5,9 @@ table; one that grows past ``BURST`` keys bursts into a node with a container fo
 so the trie stays shallow and frequent beginnings get containers of their own. When a task holds
 ``HELD`` keys it spills its largest subtrees as sorted runs, which are merged by prefix partition.
 
-Three passes over the texts use it. The first two only find out what can be frequent: words, then
-pairs of such words, are counted by the first ``KEY_BITS`` bits of their hash, and runs travel as
-packed differences of three or four bytes a key. What reaches the least count goes into a Bloom
+Four passes over the texts use it. The first three only find out what can be frequent: words, then
+pairs of such words, then triples of such pairs, are counted by the first ``KEY_BITS`` bits of their
+hash, and runs travel as packed differences of three or four bytes a key. What reaches the least count goes into a Bloom
 filter of bounded size. The last pass counts words, pairs and triples that pass the filters by word
 itself: keys are digits of the task's own word numbers, and runs name words by a 64-bit hash of
 language and bytes. Filters let every frequent phrase through; what else passes is cut off by the
@@ -42,7 +42,7 @@ WORD_BITS, KEY_BITS, DIGIT_BITS = 19, 40, 6
 PREFIXES = 8
 FAN = 1 << DIGIT_BITS
 # Phrases of a container before it bursts, and of a task before it spills.
-BURST, HELD = 8_192, 500_000
+BURST, HELD = 8_192, 800_000
 # Words handled at once.
 STEP = 1 << 17
 # Bits of a filter for each member, at most MOST_BITS in all.
@@ -149,6 +149,10 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return word_key(cx.mixed(a * _LEFT + b * _RIGHT))
 
 
+def triple_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return word_key(cx.mixed(cx.mixed(a * _LEFT + b * _RIGHT) * _LEFT + c * _RIGHT))
+
+
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A sorted run: how many keys and large counts, bytes a key, differences, one byte a count, large counts."""
     steps = np.diff(keys, prepend=0)
@@ -246,8 +250,20 @@ def _word_groups(batches, seed: int):
             yield words, joined, describe, check, langs[i:j], cx.per_row(rows, j - i)
 
 
+def _pairs(words: np.ndarray, joined: np.ndarray, gate: Bloom) -> np.ndarray:
+    """Which words begin a pair that the filter lets through."""
+    at, found = np.flatnonzero(joined), np.zeros(len(words), bool)
+    found[at] = gate.has(pair_key(words[at], words[at + 1]))
+    return found
+
+
+def _triples(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Words that begin two such pairs in a row."""
+    return np.flatnonzero(pairs[:-1] & pairs[1:])
+
+
 def _candidates(slim: DataFrame, n: int, seed: int, gate, least: int) -> DataFrame:
-    """Keys (one long column) of words or pairs that may occur ``least`` times: whose hashed count does."""
+    """Keys (one long column) of phrases of ``n`` words that may occur ``least`` times: whose hashed count does."""
     prefixes = PREFIXES * work_partitions(slim)
 
     def count(batches):
@@ -263,11 +279,15 @@ def _candidates(slim: DataFrame, n: int, seed: int, gate, least: int) -> DataFra
         for words, joined, *_ in _word_groups(batches, seed):
             for low in range(0, len(words), STEP):
                 part = words[low : low + STEP + n - 1]
-                keys = word_key(part)
-                if n == 2:
-                    known = gate.value.has(keys)
+                if n == 1:
+                    keys = word_key(part)
+                elif n == 2:
+                    known = gate.value.has(word_key(part))
                     at = np.flatnonzero(known[:-1] & known[1:] & joined[low : low + STEP])
                     keys = pair_key(part[at], part[at + 1])
+                else:
+                    at = _triples(part, _pairs(part, joined[low : low + STEP + 1], gate.value))
+                    keys = triple_key(part[at], part[at + 1], part[at + 2])
                 keys.sort()
                 trie.add(keys)
                 if trie.size > HELD:
@@ -299,7 +319,7 @@ def _candidates(slim: DataFrame, n: int, seed: int, gate, least: int) -> DataFra
 _COUNTS = "h1 long, h2 long, h3 long, lang string, word string, n long"
 
 
-def _exact(seed: int, words_gate, pairs_gate):
+def _exact(seed: int, words_gate, pairs_gate, triples_gate):
     """Runs over batches (lang, text): counts of words, pairs and triples that pass the filters, and of all words by language."""
     names = [f.split()[0] for f in _COUNTS.split(", ")]
 
@@ -332,9 +352,10 @@ def _exact(seed: int, words_gate, pairs_gate):
                 part, near = words[low : low + STEP + 2], joined[low : low + STEP + 1]
                 here = min(STEP, len(part))  # where phrases of this step begin
                 known = words_gate.value.has(word_key(part))
-                pair, two = np.flatnonzero(near & known[:-1] & known[1:]), np.zeros(len(part), bool)
-                two[pair] = pairs_gate.value.has(pair_key(part[pair], part[pair + 1]))
-                begins = [np.flatnonzero(x[:here]) for x in (known, two, two[:-1] & two[1:])]
+                two = _pairs(part, near & known[:-1] & known[1:], pairs_gate.value)
+                three = _triples(part, two)
+                three = three[triples_gate.value.has(triple_key(part[three], part[three + 1], part[three + 2]))]
+                begins = [np.flatnonzero(known[:here]), np.flatnonzero(two[:here]), three[three < here]]
                 if len(own.of) + len(part) >= 1 << WORD_BITS:
                     yield from out()
                     own = _Numbers()
@@ -348,7 +369,7 @@ def _exact(seed: int, words_gate, pairs_gate):
                     keys.sort()
                     trie.add(keys)
                 if sum(t.size for t in tries) > HELD:
-                    yield from out(HELD // 6)
+                    yield from out(HELD // 9)
         yield from out()
         none = [pa.nulls(len(sizes), pa.int64())] * 3
         yield pa.RecordBatch.from_arrays([*none, pa.array(list(sizes), pa.string()), pa.nulls(len(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64())], names)
@@ -362,7 +383,7 @@ def frequencies(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     context = docs.sparkSession.sparkContext
     while True:
         gates: list = [None]
-        for n in (1, 2):
+        for n in (1, 2, 3):
             gates.append(context.broadcast(bloom(*counted(_candidates(slim, n, seed, gates[-1], least)))))
         keys = ["h1", "h2", "h3"]
         sums = slim.mapInArrow(_exact(seed, *gates[1:]), _COUNTS).repartition(*keys).groupBy(*keys, "lang", "word").agg(F.sum("n").alias("n"))
