@@ -52,7 +52,7 @@ def texts():
 
 
 def test_same_as_phrase_by_phrase(spark, texts, monkeypatch):
-    for name, small in (("BURST", 20), ("HELD", 300), ("STEP", 700), ("WORD_BITS", 12), ("MOST_BITS", 1 << 12), ("KEY_BITS", 13)):
+    for name, small in (("BURST", 20), ("HELD", 300), ("STEP", 700), ("MOST_BITS", 1 << 12)):
         monkeypatch.setattr(q, name, small)
     df = spark.createDataFrame([(t, x, "clash") for x, t in texts], "text string, lang string, rank string").repartition(3)
     assert rows_of(q.collocations(df)) == plain(texts)
@@ -68,25 +68,23 @@ def test_whole_table_equals_the_sql(spark):
     assert rows_of(got) == sorted(con.execute(queries.ORACLES["op12_phrase_collocations"]).fetchall())
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_words_of_one_hash_are_counted_anew(spark, texts, monkeypatch, parts):
-    df = spark.createDataFrame([(t, x) for x, t in texts], "text string, lang string").repartition(parts)
-    seeds, exact = [], q._exact
-    monkeypatch.setattr(q, "_exact", lambda seed, *gates: seeds.append(seed) or exact(seed, *gates))
-    groups = q._word_groups
+def test_phrases_are_spelt_whatever_task_meets_them(spark, texts, monkeypatch):
+    """The last pass may deal the rows to other tasks than the counting."""
+    spelt, asked = q._spelt, []
 
-    def clashing(batches, seed):
-        for words, *rest in groups(batches, seed):
-            yield words if seed > 61 else words & np.uint64(0xFF << 56), *rest
+    def elsewhere(slim, seed, gates, mine, every):
+        asked.append(every)
+        return spelt(slim if every else slim.limit(0), seed, gates, mine, every)
 
-    monkeypatch.setattr(q, "_word_groups", clashing)
-    assert rows_of(q.collocations(df)) == plain(texts) and seeds == [61, 62]
+    monkeypatch.setattr(q, "_spelt", elsewhere)
+    df = spark.createDataFrame([(t, x) for x, t in texts], "text string, lang string").repartition(3)
+    assert rows_of(q.collocations(df)) == plain(texts) and asked == [False, True]
 
 
 def test_packed_runs_come_back():
     draw = np.random.default_rng(5)
-    for top in (3, 1 << 20, 1 << 40):
-        keys = np.unique(draw.integers(0, top, 500))
+    for top in (3, 1 << 20, 1 << 63):
+        keys = np.unique(draw.integers(0, top - 1, 500))
         counts = draw.integers(1, 1 << draw.integers(1, 40), len(keys))
         back = q.unpacked(q.packed(keys, counts))
         assert np.array_equal(back[0], keys) and np.array_equal(back[1], counts)
@@ -113,7 +111,7 @@ def test_trie_counts_and_spills_sorted_runs(monkeypatch):
 
 def test_filter_lets_every_member_through(spark):
     draw = np.random.default_rng(4)
-    members, others = draw.integers(0, 1 << q.KEY_BITS, 3000), draw.integers(0, 1 << q.KEY_BITS, 20_000)
+    members, others = draw.integers(0, (1 << 63) - 1, 3000), draw.integers(0, (1 << 63) - 1, 20_000)
     gate = q.bloom(spark.createDataFrame([(int(x),) for x in members], "key long").repartition(3), 3000)
     assert gate.has(members).all() and gate.has(others).mean() < 0.02
 

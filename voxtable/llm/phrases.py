@@ -1,17 +1,19 @@
 """Phrase collocations, counted in burst tries that spill sorted runs.
 
-A task counts in a trie over the digits of its keys. A container at the trie's edge is a hash
-table; one that grows past ``BURST`` keys bursts into a node with a container for each next digit,
-so the trie stays shallow and frequent beginnings get containers of their own. When a task holds
-``HELD`` keys it spills its largest subtrees as sorted runs, which are merged by prefix partition.
-
-Four passes over the texts use it. The first three only find out what can be frequent: words, then
-pairs of such words, then triples of such pairs, are counted by the first ``KEY_BITS`` bits of their
-hash, and runs travel as packed differences of three or four bytes a key. What reaches the least count goes into a Bloom
-filter of bounded size. The last pass counts words, pairs and triples that pass the filters by word
-itself: keys are digits of the task's own word numbers, and runs name words by a 64-bit hash of
-language and bytes. Filters let every frequent phrase through; what else passes is cut off by the
-exact counts. If two words share a hash, everything is counted anew with another one.
+Words, pairs and triples are each counted in a pass over the texts. A phrase is named by a hash of
+its words' ids (an id is a hash of language and bytes), and a task counts names in a trie over their
+digits. A container at the trie's edge is a hash table; one that grows past ``BURST`` names bursts
+into a node with a container for each next digit, so the trie stays shallow. When a task holds
+``HELD`` names it spills its largest subtrees as sorted runs, packed as differences in five to seven
+bytes a name, which are merged by prefix partition. A prefix of words may be hot, one of hashes is
+not.
+
+A pair can only be frequent if both words are, a triple only if both pairs are: a Bloom filter of
+bounded size over the frequent phrases of one pass lets the next leave most others out. Wrong passes
+do not matter, as the counts are whole and cut at the least count afterwards. A last pass spells the
+frequent phrases: of the tasks that met one, the first to be merged names its words. Names have
+``KEY_BITS`` bits; two of 10^9 phrases share one with a chance of about 5 %, and such a pair would
+only add its counts up.
 
 Defined results: a null text counts as empty, a null language as ``und``. Phrases never cross the
 end of a piece or of a text. Overlapping occurrences all count. Languages without a candidate have
@@ -23,11 +25,12 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +39,12 @@ from voxtable.llm.joins import counted, settled
 from voxtable.scale import Lookup, top_k_per_group, work_partitions
 
 LEAST, TOP, COVERED_PERCENT = 10, 2_000, 50
-# Bits of a task's word number, of a hashed key, and of one digit of the trie.
-WORD_BITS, KEY_BITS, DIGIT_BITS = 19, 40, 6
+# Bits of a phrase's name, and of one digit of the trie.
+KEY_BITS, DIGIT_BITS = 63, 6
 # Prefix partitions for each shuffle partition, so that chance deals them out evenly.
 PREFIXES = 8
 FAN = 1 << DIGIT_BITS
-# Phrases of a container before it bursts, and of a task before it spills.
+# Names in a container before it bursts, and in a task before it spills.
 BURST, HELD = 8_192, 800_000
 # Words handled at once.
 STEP = 1 << 17
@@ -153,33 +156,39 @@ def triple_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return word_key(cx.mixed(cx.mixed(a * _LEFT + b * _RIGHT) * _LEFT + c * _RIGHT))
 
 
+def owned(keys: np.ndarray, owner) -> np.ndarray:
+    """Names together with the task that is to spell them."""
+    return cx.mixed(keys.astype(np.uint64) + cx.mixed(np.asarray(owner, np.uint64) + _LEFT)).astype(np.int64)
+
+
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """A sorted run: how many keys and large counts, bytes a key, differences, one byte a count, large counts."""
-    steps = np.diff(keys, prepend=0)
+    """A sorted run: numbers of keys and large counts, bytes a key, first key; differences, one byte a count, large counts."""
+    steps = np.diff(keys, prepend=keys[0])
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
     large = np.flatnonzero(counts > 254)
-    head = np.array([len(keys), len(large), width], "<i8").tobytes()
+    head = np.array([len(keys), len(large), width, keys[0]], "<i8").tobytes()
     raw = steps.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
     return b"".join([head, np.ascontiguousarray(raw).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes()])
 
 
 def unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, n_large, width = np.frombuffer(run, "<i8", 3).tolist()
+    n, n_large, width, first = np.frombuffer(run, "<i8", 4).tolist()
     raw = np.zeros((n, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(run, np.uint8, n * width, 24).reshape(n, width)
-    counts = np.frombuffer(run, np.uint8, n, 24 + n * width).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(run, "<i8", n_large, 24 + n * (width + 1))
-    return np.cumsum(raw.view("<i8").ravel()), counts
+    raw[:, :width] = np.frombuffer(run, np.uint8, n * width, 32).reshape(n, width)
+    counts = np.frombuffer(run, np.uint8, n, 32 + n * width).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(run, "<i8", n_large, 32 + n * (width + 1))
+    return first + np.cumsum(raw.view("<i8").ravel()), counts
 
 
 def bloom(members: DataFrame, rows: int) -> Bloom:
-    """Filter over the keys of ``members``, one long column; its size never passes MOST_BITS."""
+    """Filter over the column ``key`` of ``members``, with ``owner`` if it is there; its size never passes MOST_BITS."""
     bits = min(MOST_BITS, 1 << max(12, (MEMBER_BITS * rows).bit_length()))
 
     def run(batches):
         part = Bloom(np.zeros(bits >> 6, np.uint64))
         for batch in batches:
-            part.add(batch.column(0).to_numpy())
+            keys = [c.to_numpy() for c in batch.columns]
+            part.add(keys[0] if len(keys) == 1 else owned(*keys))
         used = np.flatnonzero(part.words)
         yield pa.RecordBatch.from_arrays([cx.long_column(used), cx.signed(part.words[used])], ["slot", "bits"])
 
@@ -189,47 +198,18 @@ def bloom(members: DataFrame, rows: int) -> Bloom:
     return Bloom(words)
 
 
-class _Numbers:
-    """Numbers of the words a task has seen since it last spilled all, with their hash, language and bytes."""
-
-    def __init__(self):
-        self.of: dict[int, int] = {}
-        self.checks: list[int] = []
-        self.langs: list[str] = []
-        self.words: list[bytes] = []
-        self.clashes: list[tuple] = []
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(self.of.keys(), np.uint64, len(self.of))  # in the order of the numbers
-
-    def look_up(self, keys: np.ndarray, checks: np.ndarray, describe: Callable) -> np.ndarray:
-        """Numbers of words by hash; ``checks`` is another hash that shows whether a word shares the first with another."""
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        of, found = self.of, []
-        for key, at, check in zip(unique.tolist(), first.tolist(), checks[first].tolist()):
-            number = of.get(key)
-            if number is None:
-                number = of[key] = len(of)
-                lang, word = describe(at)
-                self.checks.append(check)
-                self.langs.append(lang)
-                self.words.append(word)
-            elif self.checks[number] != check:
-                self.clashes.append((key, *describe(at)))
-            found.append(number)
-        for at in np.flatnonzero(checks != checks[first][inverse])[:1].tolist():
-            self.clashes.append((int(keys[at]), *describe(at)))
-        return np.array(found, np.int64)[inverse]
-
-
 @lru_cache(4096)
 def _salt(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "big"))
 
 
+def _task() -> int:
+    return TaskContext.get().partitionId() if TaskContext.get() else 0
+
+
 def _word_groups(batches, seed: int):
-    """Per group of texts (columns lang, text): word hashes, which neighbours share a piece, and how to name a word and count them."""
-    hash_of, check_of = cx.hasher(seed), cx.hasher(~seed & 0xFFFF)
+    """Per group of texts (columns lang, text): word ids, which neighbours share a piece, how to spell a word, languages and words by row."""
+    hash_of = cx.hasher(seed)
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for i, j, data, offsets in cx.groups(batch.column(1)):
@@ -241,54 +221,49 @@ def _word_groups(batches, seed: int):
             pieces = cx.running(_BREAK[data])[starts]
             joined = (rows[1:] == rows[:-1]) & (pieces[1:] == pieces[:-1])
 
-            def describe(w, data=data, starts=starts, ends=ends, rows=rows, langs=langs[i:j]):
-                return langs[rows[w]], data[starts[w] : ends[w]].tobytes().lower()
+            def spell(w, data=data, starts=starts, ends=ends, rows=rows, langs=langs[i:j]):
+                return langs[rows[w]], data[starts[w] : ends[w]].tobytes().lower().decode("utf-8", "replace")
 
-            def check(data=data, starts=starts, ends=ends, of_lang=salts[rows]):
-                return check_of(data, starts, ends) + of_lang
+            yield words, joined, spell, langs[i:j], cx.per_row(rows, j - i)
 
-            yield words, joined, describe, check, langs[i:j], cx.per_row(rows, j - i)
 
+def _phrases(n: int, words: np.ndarray, joined: np.ndarray, gates: list) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases of ``n`` words begin whose parts may be frequent, and their names."""
+    if n == 1:
+        return np.arange(len(words)), word_key(words)
+    if n == 2:
+        known = gates[0].value.has(word_key(words))
+        at = np.flatnonzero(known[:-1] & known[1:] & joined)
+        return at, pair_key(words[at], words[at + 1])
+    pair, pairs = np.flatnonzero(joined), np.zeros(len(words), bool)
+    pairs[pair] = gates[1].value.has(pair_key(words[pair], words[pair + 1]))
+    at = np.flatnonzero(pairs[:-1] & pairs[1:])
+    return at, triple_key(words[at], words[at + 1], words[at + 2])
 
-def _pairs(words: np.ndarray, joined: np.ndarray, gate: Bloom) -> np.ndarray:
-    """Which words begin a pair that the filter lets through."""
-    at, found = np.flatnonzero(joined), np.zeros(len(words), bool)
-    found[at] = gate.has(pair_key(words[at], words[at + 1]))
-    return found
 
+def _steps(n: int, words: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Stretches of words in which all phrases of ``n`` words begin once."""
+    for low in range(0, len(words), STEP):
+        yield low, words[low : low + STEP + n - 1], joined[low : low + STEP + n - 2]
 
-def _triples(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Words that begin two such pairs in a row."""
-    return np.flatnonzero(pairs[:-1] & pairs[1:])
 
-
-def _candidates(slim: DataFrame, n: int, seed: int, gate, least: int) -> DataFrame:
-    """Keys (one long column) of phrases of ``n`` words that may occur ``least`` times: whose hashed count does."""
+def _counted(slim: DataFrame, n: int, seed: int, gates: list, least: int) -> DataFrame:
+    """(key, n, owner) of the phrases of ``n`` words that occur ``least`` times; the owner is the first task that met one."""
     prefixes = PREFIXES * work_partitions(slim)
 
     def count(batches):
-        trie = Trie(KEY_BITS)
+        trie, task = Trie(KEY_BITS), _task()
 
         def out(down_to=0):
             for keys, counts in trie.spill(down_to):
-                part = keys * prefixes >> KEY_BITS if prefixes < 1 << 23 else (keys >> 17) * prefixes >> KEY_BITS - 17
+                part = (keys >> KEY_BITS - 23) * prefixes >> 23
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
                 runs = [packed(keys[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([cx.long_column(part[cuts[:-1]]), pa.array(runs, pa.binary())], ["prefix", "run"])
+                yield pa.RecordBatch.from_arrays([cx.long_column(part[cuts[:-1]]), pa.array([task] * len(runs), pa.int32()), pa.array(runs, pa.binary())], ["prefix", "task", "run"])
 
         for words, joined, *_ in _word_groups(batches, seed):
-            for low in range(0, len(words), STEP):
-                part = words[low : low + STEP + n - 1]
-                if n == 1:
-                    keys = word_key(part)
-                elif n == 2:
-                    known = gate.value.has(word_key(part))
-                    at = np.flatnonzero(known[:-1] & known[1:] & joined[low : low + STEP])
-                    keys = pair_key(part[at], part[at + 1])
-                else:
-                    at = _triples(part, _pairs(part, joined[low : low + STEP + 1], gate.value))
-                    keys = triple_key(part[at], part[at + 1], part[at + 2])
-                keys.sort()
+            for _, part, near in _steps(n, words, joined):
+                keys = np.sort(_phrases(n, part, near, gates)[1])
                 trie.add(keys)
                 if trie.size > HELD:
                     yield from out(HELD // 2)
@@ -298,105 +273,89 @@ def _candidates(slim: DataFrame, n: int, seed: int, gate, least: int) -> DataFra
         prefix, held = None, []
 
         def out():
-            keys, counts = (np.concatenate(x) for x in zip(*map(unpacked, held)))
+            runs = [unpacked(run) for _, run in held]
+            keys, counts = (np.concatenate(x) for x in zip(*runs))
+            tasks = np.repeat([t for t, _ in held], [len(k) for k, _ in runs])
             keys, at = np.unique(keys, return_inverse=True)
-            return pa.RecordBatch.from_arrays([cx.long_column(keys[np.bincount(at, counts) >= least])], ["key"])
+            total, owner = np.zeros(len(keys), np.int64), np.full(len(keys), 1 << 31)
+            np.add.at(total, at, counts)
+            np.minimum.at(owner, at, tasks)
+            kept = total >= least
+            return pa.RecordBatch.from_arrays([cx.long_column(x[kept]) for x in (keys, total, owner)], ["key", "n", "owner"])
 
         for batch in batches:
-            for p, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for p, task, run in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and p != prefix:
                     yield out()
                     held = []
                 prefix = p
-                held.append(run)
+                held.append((task, run))
         if held:
             yield out()
 
-    runs = slim.mapInArrow(count, "prefix long, run binary").repartition("prefix").sortWithinPartitions("prefix")
-    return runs.mapInArrow(merge, "key long")
+    runs = slim.mapInArrow(count, "prefix long, task int, run binary").repartition("prefix").sortWithinPartitions("prefix")
+    return runs.mapInArrow(merge, "key long, n long, owner long")
 
 
-_COUNTS = "h1 long, h2 long, h3 long, lang string, word string, n long"
+_SPELT = "size int, key long, owner long, h1 long, h2 long, h3 long, lang string, word string"
 
 
-def _exact(seed: int, words_gate, pairs_gate, triples_gate):
-    """Runs over batches (lang, text): counts of words, pairs and triples that pass the filters, and of all words by language."""
-    names = [f.split()[0] for f in _COUNTS.split(", ")]
+def _spelt(slim: DataFrame, seed: int, gates: list, mine, every: bool) -> DataFrame:
+    """Words of the phrases that a task owns (or of every phrase); and, as size 0, words in all by language."""
+    names = [f.split()[0] for f in _SPELT.split(", ")]
 
     def run(batches):
-        own, tries, sizes = _Numbers(), [Trie(n * WORD_BITS) for n in (1, 2, 3)], Counter()
-
-        def out(down_to=0):
-            hashes = own.hashes()
-            for n, trie in enumerate(tries, 1):
-                for keys, counts in trie.spill(down_to):
-                    ids = [keys >> WORD_BITS * (n - 1 - j) & (1 << WORD_BITS) - 1 for j in range(n)]
-                    empty = pa.nulls(len(keys), pa.int64())
-                    columns = [*(cx.signed(hashes[i]) for i in ids), *[empty] * (3 - n)]
-                    each = ids[0].tolist() if n == 1 else []
-                    for known in ([own.langs[i] for i in each], [own.words[i].decode("utf-8", "replace") for i in each]):
-                        columns.append(pa.array(known, pa.string()) if n == 1 else pa.nulls(len(keys), pa.string()))
-                    yield pa.RecordBatch.from_arrays([*columns, cx.long_column(counts)], names)
-            if own.clashes:
-                keys, others, spelt = zip(*own.clashes)
-                empty = pa.nulls(len(keys), pa.int64())
-                columns = [cx.signed(np.array(keys, np.uint64)), empty, empty, pa.array(others, pa.string()), pa.array([w.decode("utf-8", "replace") for w in spelt], pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, cx.long_column(np.zeros(len(keys), np.int64))], names)
-                own.clashes.clear()
-
-        for words, joined, describe, check, langs, in_row in _word_groups(batches, seed):
-            checks = check()
+        done: list[set] = [set(), set(), set()]  # phrases this task has spelt: its share of the frequent ones
+        totals, task = Counter(), _task()
+        for words, joined, spell, langs, in_row in _word_groups(batches, seed):
             for lang, size in zip(langs, in_row.tolist()):
-                sizes[lang] += size
-            for low in range(0, len(words), STEP):
-                part, near = words[low : low + STEP + 2], joined[low : low + STEP + 1]
-                here = min(STEP, len(part))  # where phrases of this step begin
-                known = words_gate.value.has(word_key(part))
-                two = _pairs(part, near & known[:-1] & known[1:], pairs_gate.value)
-                three = _triples(part, two)
-                three = three[triples_gate.value.has(triple_key(part[three], part[three + 1], part[three + 2]))]
-                begins = [np.flatnonzero(known[:here]), np.flatnonzero(two[:here]), three[three < here]]
-                if len(own.of) + len(part) >= 1 << WORD_BITS:
-                    yield from out()
-                    own = _Numbers()
-                used = np.flatnonzero(known)
-                numbers = np.zeros(len(part), np.int64)
-                numbers[used] = own.look_up(part[used], checks[used + low], lambda k, used=used, low=low, name=describe: name(int(used[k]) + low))
-                for n, (trie, at) in enumerate(zip(tries, begins), 1):
-                    keys = numbers[at]
-                    for k in range(1, n):
-                        keys = keys << WORD_BITS | numbers[at + k]
-                    keys.sort()
-                    trie.add(keys)
-                if sum(t.size for t in tries) > HELD:
-                    yield from out(HELD // 9)
-        yield from out()
-        none = [pa.nulls(len(sizes), pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([*none, pa.array(list(sizes), pa.string()), pa.nulls(len(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64())], names)
-
-    return run
+                totals[lang] += size
+            for n in (1, 2, 3):
+                for low, part, near in _steps(n, words, joined):
+                    at, keys = _phrases(n, part, near, gates)
+                    chosen = mine.value.has(owned(keys, 0 if every else task))
+                    keys, first = np.unique(keys[chosen], return_index=True)
+                    at = at[chosen][first]
+                    new = np.array([k not in done[n - 1] for k in keys.tolist()], bool)
+                    if not new.any():
+                        continue
+                    keys, at = keys[new], at[new]
+                    done[n - 1].update(keys.tolist())
+                    ids = [cx.long_column(word_key(part[at + k])) if k < n else pa.nulls(len(at), pa.int64()) for k in range(3)]
+                    read = [spell(int(w) + low) for w in at] if n == 1 else [(None, None)] * len(at)
+                    fixed = [pa.array(np.full(len(at), n, np.int32)), cx.long_column(keys), cx.long_column(np.full(len(at), task))]
+                    yield pa.RecordBatch.from_arrays([*fixed, *ids, *(pa.array(x, pa.string()) for x in zip(*read))], names)
+        sizes = [pa.array([0] * len(totals), pa.int32()), pa.array(list(totals.values()), pa.int64()), pa.array([task] * len(totals), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*sizes, *[pa.nulls(len(totals), pa.int64())] * 3, pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string())], names)
+
+    return slim.mapInArrow(run, _SPELT)
 
 
 def frequencies(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, seed: int = 61) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Languages (lang, n) with all their words; and words (h1, lang, word, n), pairs (h1, h2, n) and triples (h1, h2, h3, n) that occur ``least`` times."""
     slim = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
-    while True:
-        gates: list = [None]
-        for n in (1, 2, 3):
-            gates.append(context.broadcast(bloom(*counted(_candidates(slim, n, seed, gates[-1], least)))))
-        keys = ["h1", "h2", "h3"]
-        sums = slim.mapInArrow(_exact(seed, *gates[1:]), _COUNTS).repartition(*keys).groupBy(*keys, "lang", "word").agg(F.sum("n").alias("n"))
-        # Rare words that passed stay, to see whether one shares the hash of a frequent word.
-        found = settled(sums.filter((F.col("n") >= least) | F.col("h2").isNull()))
-        words = found.filter("h1 is not null and h2 is null").select("h1", "lang", "word", "n")
-        if not words.groupBy("h1").count().filter("count > 1").limit(1).count():
+    gates, tables, rows = [], [], 0
+    for n in (1, 2, 3):
+        table, size = counted(_counted(slim, n, seed, gates, least).withColumn("size", F.lit(n)))
+        gates.append(context.broadcast(bloom(table.select("key"), size)))
+        tables.append(table)
+        rows += size
+    every = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    for by_owner in (True, False):
+        mine = bloom(every.select("key", "owner" if by_owner else F.lit(0).cast("long").alias("owner")), rows)
+        spelt = settled(_spelt(slim, seed, gates, context.broadcast(mine), not by_owner))
+        if by_owner:
+            found = spelt.join(every, ["size", "key", "owner"])
+        else:
+            # Rows were dealt to other tasks than before: all tasks spell what they meet.
+            found = spelt.filter("size > 0").dropDuplicates(["size", "key"]).drop("owner").join(every.drop("owner"), ["size", "key"])
+        found, n_found = counted(found.select("size", "h1", "h2", "h3", "lang", "word", "n"))
+        if n_found == rows:
             break
-        seed += 1
-    return (
-        found.filter("h1 is null").select("lang", "n"), words.filter(F.col("n") >= least),
-        found.filter("h2 is not null and h3 is null").select("h1", "h2", "n"), found.filter("h3 is not null").select("h1", "h2", "h3", "n"),
-    )
+    sizes = spelt.filter("size = 0").groupBy("lang").agg(F.sum("key").alias("n"))
+    of = lambda n, *columns: found.filter(F.col("size") == n).select(*columns, "n")
+    return sizes, of(1, "h1", "lang", "word"), of(2, "h1", "h2"), of(3, "h1", "h2", "h3")
 
 
 def _score(a: str, left: str, right: str):
