@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from voxtable import streaming
@@ -133,7 +134,7 @@ def test_trees_are_full_size_and_measured_on_rows_apart(spark, monkeypatch):
     train, accurate = ln.train_boosted, models._accurate
     monkeypatch.setattr(ln, "train_boosted", lambda rows, *args: trained.append(rows) or train(rows, *args, max_iter=1, depth=1))
     monkeypatch.setattr(models, "_accurate", lambda rows, unseen: measured.append(rows.filter(unseen)) or accurate(rows, unseen))
-    rows = models.boosted_trees(spark, DATA)
+    rows = models.trees_accuracy(spark, DATA)
     used = {r["doc_id"] for r in trained[0].select("doc_id").collect()}
     stopping = {r["doc_id"] for r in trained[0].filter("is_holdout").select("doc_id").collect()}
     apart = {r["row_id"] for r in measured[0].select("row_id").collect()}
@@ -144,9 +145,49 @@ def test_svm_has_the_features_of_the_ticket_model(spark, monkeypatch):
     from given_tables import DATA
     from voxtable.catalog import models
 
-    asked, fit = {}, tm.TextFeatures.fit
-    monkeypatch.setattr(tm.TextFeatures, "fit", lambda *args, **options: asked.update(options) or fit(*args, **options))
-    monkeypatch.setattr(ln, "train_linear_svm", lambda rows, label: (rows, label))
-    monkeypatch.setattr(models, "_fit_scores", lambda vectors, *_: vectors)
-    models.linear_svm(spark, DATA)
-    assert asked == {"sublinear": False, "within_words": True, "word_features": 120_000, "char_features": 250_000}
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def fit(*args, **options):
+        asked.update(options)
+        raise Asked
+
+    monkeypatch.setattr(models.TextClassifier, "fit", fit)
+    with pytest.raises(Asked):
+        models.linear_svm(spark, DATA)
+    assert asked == {"name": "svm", "sublinear": False, "withinWords": True, "wordFeatures": 120_000, "charFeatures": 250_000}
+
+
+def test_fold_vocabularies_are_the_totals_less_the_fold(spark):
+    from given_tables import DATA
+    from voxtable.operators import ngrams as ng
+    from voxtable.operators.splits import assign_folds
+
+    docs = assign_folds(spark.read.parquet(f"{DATA}/documents.parquet").filter("n_chars < 1500").select("doc_id", "text", "lang"), "doc_id", "lang", 3)
+    docs = docs.cache()
+    own = tm.FoldedTerms(docs, "doc_id", "text", ng.explode_word_terms, 2, 300, True)
+    for fold in (1, 2, 3):
+        train = docs.filter(F.col("fold") != fold)
+        want = ng.Tfidf.fit(ng.explode_word_terms(train, "doc_id", "text"), "doc_id", ng.doc_count(train), 2, 300, True)
+        got = own.outside(fold)
+        order = lambda model: [tuple(r) for r in model.vocabulary.table.select("term", "term_id", "df", "cf", F.round("idf", 12)).orderBy("term").collect()]
+        assert order(got) == order(want) and got.size == 300
+        cut = ng.explode_word_terms(docs, "doc_id", "text")
+        rows = lambda df: {(r["doc_id"], r["term"]): round(r["weight"], 12) for r in df.collect()}
+        assert rows(own.weights(got)) == rows(want.transform(cut))
+
+
+def test_refit_takes_the_mean_best_count_of_the_folds(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 3, i % 2, Vectors.dense([float(i % 3), float(i % 7)])) for i in range(120)], ["label_id", "fold", "features"])
+    curves = iter([[[3.0, 1.0, 2.0]] * 3, [[4.0, 3.0, 2.0], [1.0, 2.0, 3.0], [2.0, 1.0, 1.0]]])
+    monkeypatch.setattr(ln, "validation_curves", lambda *args: next(curves))
+    counts = ln.best_iterations(rows, "label_id", max_iter=2, depth=2)
+    assert counts == [round((2 + 3) / 2), round((2 + 1) / 2), 2]
+    monkeypatch.undo()
+    model = ln.refit_boosted(rows, "label_id", [1, 3, 2], depth=2)
+    assert [m.getNumTrees for m in model.models] == [1, 3, 2]
+    losses = ln.validation_curves(model, rows, "label_id")
+    assert [len(c) for c in losses] == [1, 3, 2] and all(c[-1] <= c[0] for c in losses)
+    assert model.transform(rows).filter("prediction = label_id").count() == 120

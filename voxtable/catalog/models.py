@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from voxtable.catalog.cleaning import docs
 from voxtable.catalog.profiles import rounded
 from voxtable.catalog.registry import query, table
-from voxtable.operators import categories as cat
 from voxtable.operators import evaluation as ev
 from voxtable.operators import learning as ln
 from voxtable.operators import ngrams as ng
 from voxtable.operators import scores as sc
 from voxtable.operators import splits as sp
 from voxtable.plans import text_models as tm
-from voxtable.scale import scratch_path
+from voxtable.plans.scoring import TextClassifier, gated_submission
+from voxtable.scale import checkpointed, scratch_path
 
 _WORDS = r"""g as (select doc_id, unnest(w) as term from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') as w from documents)
     union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') as w from documents))"""
@@ -59,9 +57,9 @@ def char_tfidf(spark, d):
     return _tfidf(spark, d, ng.explode_char_terms, 100_000, True)
 
 
-@query("v3_char_wb_tfidf", _tfidf_sql(_CHARS_WB, 100_000, "tf"))
+@query("v3_char_wb_tfidf", _tfidf_sql(_CHARS_WB, 250_000, "tf"))
 def char_wb_tfidf(spark, d):
-    return _tfidf(spark, d, ng.explode_char_wb_terms, 100_000, False)
+    return _tfidf(spark, d, ng.explode_char_wb_terms, 250_000, False)
 
 
 _ONE_HOT = """with c as (select o_orderkey, 'o_orderpriority' as col, o_orderpriority as value from orders union all select o_orderkey, 'o_orderstatus', o_orderstatus from orders),
@@ -108,15 +106,9 @@ def _labelled(spark, d):
     return docs(spark, d).select("doc_id", "text", F.expr(LANG_IDS).cast("long").alias("label"))
 
 
-def _vectors(spark, d, sublinear: bool = True, within_words: bool = False, **sizes):
-    df = sp.assign_holdout(_labelled(spark, d), "doc_id", "label", 0.2)
-    features = tm.TextFeatures.fit(df, "doc_id", "text", sublinear=sublinear, within_words=within_words, **sizes)
-    ready = cat.with_class_weights(df, "label").withColumn("label_id", F.col("label").cast("int"))
-    return features.vectors(ready, keep=["label_id", "weight", "is_holdout"])
-
-
 # A model has to name the language of this share of rows it was not fitted on.
 LEAST_ACCURACY = 0.7
+LABELS = [0, 1, 2, 3]
 _TRUTH = f"""select doc_id as row_id, y, r <= round(n * {{share}}) as is_holdout, true as accurate from (select doc_id, cast({LANG_IDS} as bigint) as y,
     row_number() over (partition by lang order by md5(concat(doc_id, '-42')), doc_id) as r, count(*) over (partition by lang) as n from documents)"""
 
@@ -127,68 +119,130 @@ def _accurate(predictions, unseen: str):
     return predictions.withColumn("accurate", F.coalesce(share, F.lit(False)))
 
 
-def _fit_scores(vectors, model, name: str, proba: bool, unseen: str = "is_holdout"):
-    best = sc.argmax(ln.score_table(model, vectors, "doc_id", [0, 1, 2, 3], name, proba))
-    truth = vectors.select(F.col("doc_id").alias("row_id"), F.col("label_id").cast("long").alias("y"), "is_holdout", F.expr(unseen).alias("unseen"))
-    return _accurate(best.join(truth, "row_id"), "unseen").select("row_id", "y", "is_holdout", "accurate")
+# The comment model's features and the ticket model's.
+_COMMENT = {"sublinear": True, "withinWords": False}
+_TICKET = {"sublinear": False, "withinWords": True, "wordFeatures": 120_000, "charFeatures": 250_000}
+
+
+def _split(spark, d):
+    return sp.assign_holdout(_labelled(spark, d), "doc_id", "label", 0.2)
+
+
+def _loaded(spark, d, kind: str, table: dict):
+    """A classifier fitted on the rows outside the holdout, saved and loaded again."""
+    path = scratch_path(spark, "classifier")
+    TextClassifier.fit(_split(spark, d).filter("not is_holdout"), "doc_id", "label", kind, name=kind, **table).save(path)
+    return TextClassifier.load(spark, path)
+
 
+def _predicted(spark, d, kind: str, table: dict):
+    """Truth, predicted label and its score of every row, from raw text."""
+    rows = _split(spark, d).withColumn("y", F.col("label"))
+    return _loaded(spark, d, kind, table).predictions(rows, ["y", "is_holdout"])
 
-@query("v7_logistic_regression", _TRUTH.format(share=0.2))
+
+@query("v7_logistic_regression")
 def logistic_regression(spark, d):
-    vectors = _vectors(spark, d)
-    return _fit_scores(vectors, ln.train_logistic(vectors.filter("not is_holdout"), "label_id"), "lr", True)
+    return _predicted(spark, d, "logistic", _COMMENT)
+
 
+@query("v7_accuracy", _TRUTH.format(share=0.2))
+def logistic_accuracy(spark, d):
+    return _accurate(logistic_regression(spark, d), "is_holdout").select("row_id", "y", "is_holdout", "accurate")
 
-@query("v8_linear_svm", _TRUTH.format(share=0.2))
+
+@query("v8_linear_svm")
 def linear_svm(spark, d):
-    vectors = _vectors(spark, d, sublinear=False, within_words=True, word_features=120_000, char_features=250_000)
-    return _fit_scores(vectors, ln.train_linear_svm(vectors.filter("not is_holdout"), "label_id"), "svm", False)
+    return _predicted(spark, d, "svm", _TICKET)
 
 
-@query("v9_boosted_trees", _TRUTH.format(share=0.25))
-def boosted_trees(spark, d):
+@query("v8_accuracy", _TRUTH.format(share=0.2))
+def svm_accuracy(spark, d):
+    return _accurate(linear_svm(spark, d), "is_holdout").select("row_id", "y", "is_holdout", "accurate")
+
+
+def _tree_rows(spark, d, text_dim: int = 256):
     df = docs(spark, d).select("doc_id", "text", "source", F.col("n_chars").cast("double").alias("n_chars"), F.expr(LANG_IDS).alias("label_id"))
-    made = ln.tree_features(df, "text", ["source"], ["n_chars"]).transform(df)
+    return ln.tree_features(df, "text", ["source"], ["n_chars"], text_dim).transform(df).select("doc_id", "label_id", "features")
+
+
+def _written(spark, df, name: str):
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _best(model, rows, name: str, *keep):
+    scores = ln.score_table(model, rows, "doc_id", LABELS, name, True)
+    truth = rows.select(F.col("doc_id").alias("row_id"), F.col("label_id").cast("long").alias("y"), *keep)
+    return sc.argmax(scores).join(truth, "row_id").select("row_id", "y", *keep, "label", "confidence")
+
+
+@query("v9_boosted_trees")
+def boosted_trees(spark, d):
     # Half of the holdout stops the training, the other half only measures it.
-    halved = sp.assign_holdout(made.select("doc_id", "label_id", "features"), "doc_id", "label_id", 0.125).withColumnRenamed("is_holdout", "unseen")
-    marked = sp.assign_holdout(halved, "doc_id", "label_id", 0.25)
-    path = scratch_path(spark, "tree-input")
-    marked.write.parquet(path)
-    rows = spark.read.schema(marked.schema).parquet(path)
-    model = ln.train_boosted(rows.filter("not unseen"), "label_id", "is_holdout")
-    return _fit_scores(rows, model, "gbt", True, "unseen")
+    halved = sp.assign_holdout(_tree_rows(spark, d), "doc_id", "label_id", 0.125).withColumnRenamed("is_holdout", "unseen")
+    rows = _written(spark, sp.assign_holdout(halved, "doc_id", "label_id", 0.25), "tree-input")
+    return _best(ln.train_boosted(rows.filter("not unseen"), "label_id", "is_holdout"), rows, "gbt", "is_holdout", "unseen")
+
+
+@query("v9_accuracy", _TRUTH.format(share=0.25))
+def trees_accuracy(spark, d):
+    return _accurate(boosted_trees(spark, d), "unseen").select("row_id", "y", "is_holdout", "accurate")
+
 
+# Rounds of the fold models whose curves set the refit's size.
+_FOLD_ROUNDS, _FOLDS = 20, 2
 
-def _saved_model(spark, d):
-    vectors = _vectors(spark, d)
-    model, path = ln.train_logistic(vectors.filter("not is_holdout"), "label_id"), scratch_path(spark, "model")
-    ln.save_model(model, path, {"labels": [0, 1, 2, 3], "id_col": "doc_id"})
-    return vectors, path, model
+
+@query("v10_final_refit")
+def final_refit(spark, d):
+    """Trees per class: the mean best count of the folds' validation curves, and those of the model refitted on all rows."""
+    rows = _written(spark, sp.assign_folds(_tree_rows(spark, d), "doc_id", "label_id", _FOLDS), "refit-input")
+    counts = ln.best_iterations(rows, "label_id", max_iter=_FOLD_ROUNDS, depth=4)
+    model = ln.refit_boosted(rows, "label_id", counts, depth=4)
+    right = F.avg((F.col("label") == F.col("y")).cast("double")).alias("accuracy_on_fitted")
+    trees = spark.createDataFrame([(k, n, m.getNumTrees) for k, (n, m) in enumerate(zip(counts, model.models))], "label long, best_count int, trees int")
+    return trees.crossJoin(F.broadcast(rows.agg(F.count("*").alias("rows")))).join(_best(model, rows, "refit").groupBy(F.col("y").alias("label")).agg(right), "label", "left")
 
 
 @query("v10_saved_model", "select count(*) as rows, 4 as classes, 4 as labels, 0.0::double as largest_change from documents")
 def saved_model(spark, d):
     """Classes, labels and the largest change of any score after a round trip through storage."""
-    vectors, path, fitted = _saved_model(spark, d)
-    model, spec = ln.load_model(spark, path, LogisticRegressionModel)
-    before, after = (ln.score_table(m, vectors, spec["id_col"], spec["labels"], "m", True) for m in (fitted, model))
-    change = before.join(after.select("row_id", "label", F.col("score").alias("again")), ["row_id", "label"]).agg(F.max(F.abs(F.col("score") - F.col("again")))).scalar()
-    return vectors.agg(F.count("*").alias("rows")).select(
-        "rows", F.lit(model.numClasses).alias("classes"), F.lit(len(spec["labels"])).alias("labels"), change.alias("largest_change")
+    rows, path = _split(spark, d), scratch_path(spark, "model")
+    fitted = TextClassifier.fit(rows.filter("not is_holdout"), "doc_id", "label", **_COMMENT)
+    fitted.save(path)
+    model = TextClassifier.load(spark, path)
+    before, after = fitted.scores(rows), model.scores(rows).select("row_id", "label", F.col("score").alias("again"))
+    change = before.join(after, ["row_id", "label"]).agg(F.max(F.abs(F.col("score") - F.col("again")))).scalar()
+    return rows.agg(F.count("*").alias("rows")).select(
+        "rows", F.lit(model.pipeline.stages[-1].numClasses).alias("classes"), F.lit(len(model.spec.labels)).alias("labels"), change.alias("largest_change")
     )
 
 
-@query("v11_batch_scores", f"select row_id, [0, 1, 2, 3] as labels, 1.0::double as total, accurate from ({_TRUTH.format(share=0.2)}) where is_holdout")
+@query("v11_batch_scores")
 def batch_scores(spark, d):
-    """Rows that the saved model was not fitted on, scored by the loaded one."""
-    vectors, path, _ = _saved_model(spark, d)
-    model, spec = ln.load_model(spark, path, LogisticRegressionModel)
-    scores = ln.score_table(model, vectors.filter("is_holdout"), spec["id_col"], spec["labels"], "saved", True)
+    """Raw rows that the loaded model was not fitted on: the score of every label."""
+    return _loaded(spark, d, "logistic", _COMMENT).scores(_split(spark, d).filter("is_holdout")).select("row_id", "label", "score")
+
+
+@query("v11_accuracy", f"select row_id, [0, 1, 2, 3] as labels, 1.0::double as total, accurate from ({_TRUTH.format(share=0.2)}) where is_holdout")
+def batch_accuracy(spark, d):
+    scores = checkpointed(_loaded(spark, d, "logistic", _COMMENT).scores(_split(spark, d).filter("is_holdout").withColumn("y", F.col("label")), ["y"]))
     rows = scores.groupBy("row_id").agg(F.sort_array(F.collect_set("label")).alias("labels"), F.round(F.sum("score"), 6).alias("total"))
-    best = _accurate(sc.argmax(scores).join(vectors.select(F.col("doc_id").alias("row_id"), F.col("label_id").cast("long").alias("y")), "row_id"), "true")
+    best = _accurate(sc.argmax(scores, ("row_id", "y")), "true")
     return rows.join(best.select("row_id", "accurate"), "row_id")
 
 
+@query("v11_gated_submission")
+def gated_submission_query(spark, d):
+    """Train to submission in one plan: two loaded models over raw rows, weighted, gated by time, joined to the template."""
+    rows = _split(spark, d).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3600))
+    models = [(_loaded(spark, d, "logistic", _COMMENT), 1.0), (_loaded(spark, d, "svm", _COMMENT), 0.25)]
+    test = rows.filter("is_holdout").drop("label")
+    return gated_submission(models, rows.filter("not is_holdout"), test, test.select("doc_id"), "at", {"classes": [0, 2, 3], "fallback": 1, "overrides": {}})
+
+
 _RANK = "row_number() over (partition by lang order by md5(concat(doc_id, '-42')), doc_id)"
 
 
@@ -202,12 +256,17 @@ def stratified_holdout(spark, d):
     return sp.assign_holdout(docs(spark, d).select("doc_id", "lang"), "doc_id", "lang", 0.2, 42)
 
 
-@query("e3_out_of_fold", f"select doc_id as row_id, cast(({_RANK} - 1) % 3 + 1 as integer) as fold, cast({LANG_IDS} as bigint) as y, true as accurate from documents")
+@query("e3_out_of_fold")
 def out_of_fold(spark, d):
     scores = tm.cross_validate(
-        _labelled(spark, d), "doc_id", "text", "label", [0, 1, 2, 3], 3, "logistic", within_words=False
+        _labelled(spark, d), "doc_id", "text", "label", LABELS, 3, "logistic", within_words=False
     )
-    return _accurate(sc.argmax(scores, ("row_id", "fold", "y")), "true").select("row_id", "fold", "y", "accurate")
+    return sc.argmax(scores, ("row_id", "fold", "y"))
+
+
+@query("e3_accuracy", f"select doc_id as row_id, cast(({_RANK} - 1) % 3 + 1 as integer) as fold, cast({LANG_IDS} as bigint) as y, true as accurate from documents")
+def out_of_fold_accuracy(spark, d):
+    return _accurate(out_of_fold(spark, d), "true").select("row_id", "fold", "y", "accurate")
 
 
 # True and predicted classes of the events, some wrong.

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from voxtable.config import UNK
+from voxtable.operators.linear import LinearMargins
 from voxtable.scale import Lookup, checkpointed, scratch_path
 
 
@@ -176,28 +177,60 @@ def tree_features(df: DataFrame, text_col: str, cat_cols, num_cols, text_dim: in
     return Pipeline(stages=stages).fit(df)
 
 
+def _trees(train: DataFrame, max_iter: int = 50, depth: int = 6, step: float = 0.1, max_bins: int | None = None) -> GBTClassifier:
+    """By default there are 64 bins, or as many as the largest category block has values."""
+    if max_bins is None:
+        nominal = train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+        max_bins = max([64, *(a.get("num_vals") or len(a.get("vals", ())) for a in nominal)])
+    return GBTClassifier(maxIter=max_iter, maxDepth=depth, stepSize=step, seed=42, maxBins=max_bins)
+
+
 def train_boosted(
     train: DataFrame, label_col: str, valid_col: str | None = None, max_iter: int = 50, depth: int = 6, step: float = 0.1,
     weight_col: str | None = None, parallelism: int = 2, max_bins: int | None = None,
 ):
-    """One boosted tree ensemble per class; rows marked ``valid_col`` stop it early.
-
-    By default there are 64 bins, or as many as the largest category block has values.
-    """
-    if max_bins is None:
-        nominal = train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
-        max_bins = max([64, *(a.get("num_vals") or len(a.get("vals", ())) for a in nominal)])
-    base = GBTClassifier(maxIter=max_iter, maxDepth=depth, stepSize=step, seed=42, maxBins=max_bins)
+    """One boosted tree ensemble per class; rows marked ``valid_col`` stop it early."""
+    base = _trees(train, max_iter, depth, step, max_bins)
     if valid_col:
         base = base.setValidationIndicatorCol(valid_col)
     ovr = OneVsRest(classifier=base, featuresCol="features", labelCol=label_col, parallelism=parallelism)
     return (ovr.setWeightCol(weight_col) if weight_col else ovr).fit(train)
 
 
-def best_iterations(model: OneVsRestModel) -> float:
-    """Mean number of trees kept per class; the final fit uses it as its iteration count."""
-    counts = [m.getNumTrees for m in model.models]
-    return sum(counts) / len(counts)
+def validation_curves(model: OneVsRestModel, valid: DataFrame, label_col: str) -> list[list[float]]:
+    """Loss on ``valid`` after 1, 2, ... trees, for every class against the rest."""
+    curves = []
+    for k, one in enumerate(model.models):
+        marked = valid.withColumn(label_col, (F.col(label_col) == k).cast("double"))
+        curves.append(list(one.copy({one.labelCol: label_col}).evaluateEachIteration(marked)))
+    return curves
+
+
+def best_iterations(folded: DataFrame, label_col: str, fold_col: str = "fold", **options) -> list[int]:
+    """Trees of each class that the folds' validation curves ask for: the mean over folds of the best count.
+
+    ``options`` are those of ``train_boosted``. Each fold is a fit on the others; the curves come
+    from rows of the fold, which that fit has not seen.
+    """
+    folds = sorted(r[0] for r in folded.select(fold_col).distinct().collect())
+    best = []
+    for fold in folds:
+        model = train_boosted(folded.filter(F.col(fold_col) != fold), label_col, **options)
+        curves = validation_curves(model, folded.filter(F.col(fold_col) == fold), label_col)
+        best.append([1 + min(range(len(c)), key=c.__getitem__) for c in curves])
+    if len({len(b) for b in best}) > 1:
+        raise ValueError("the folds do not hold the same classes")
+    return [max(1, round(sum(b[k] for b in best) / len(best))) for k in range(len(best[0]))]
+
+
+def refit_boosted(rows: DataFrame, label_col: str, iterations: list[int], weight_col: str | None = None, **options) -> OneVsRestModel:
+    """One ensemble per class on all rows, each with its own number of trees."""
+    models = []
+    for k, n in enumerate(iterations):
+        marked = rows.withColumn(label_col, (F.col(label_col) == k).cast("double"))
+        base = _trees(rows, n, **options).setLabelCol(label_col).setFeaturesCol("features")
+        models.append((base.setWeightCol(weight_col) if weight_col else base).fit(marked))
+    return OneVsRestModel(models).setFeaturesCol("features")
 
 
 # ---- scoring and persistence ----
@@ -211,7 +244,11 @@ def score_table(model, df: DataFrame, id_col: str, labels: list[int], name: str,
     if len(labels) != classes:
         raise ValueError(f"{len(labels)} labels for a model of {classes} classes")
     scored = model.transform(df)
-    if isinstance(model, OneVsRestModel):
+    if isinstance(model, LinearMargins):
+        if proba:
+            raise ValueError("margins are no probabilities")
+        values = F.col(model.getOrDefault("rawPredictionCol"))
+    elif isinstance(model, OneVsRestModel):
         raw = vector_to_array(F.col("rawPrediction"))
         # Per-class margins; as probabilities they are squashed and normalised. Boosted trees
         # are fitted to labels of -1 and 1, so half the log-odds is their margin.
