@@ -10,6 +10,7 @@ from voxtable.catalog.features import COMMENT_TEXT
 from voxtable.catalog.registry import ORACLES, NOISY, NOT_WORD, PLATFORM, WORD, has, query, re2, squeeze, table
 from voxtable.functions.text import collapse_spaces
 from voxtable.operators import cleaning, profiling, relations
+from voxtable.operators import profile_states as ps
 from voxtable.config import CommentConfig
 from voxtable.scale import checkpointed
 
@@ -48,6 +49,34 @@ def cardinality(spark, d):
     return profiling.cardinality(holes(spark, d), list(_HOLES))
 
 
+_MERGED_COLUMNS = ["lang", "source", "doc_id"]
+
+
+@query(
+    "p3_merged_states",
+    " union all ".join(f"select '{c}' as \"column\", count(*) as rows, count(*) filter (where {c} is null) as missing, true as near from documents" for c in _MERGED_COLUMNS),
+)
+def merged_states(spark, d):
+    """Column states of each source alone, merged; and whether their distinct values are within 5 % of the exact ones."""
+    df = docs(spark, d)
+    batches = [ps.profile_state(df.filter(F.pmod(F.hash("source"), F.lit(3)) == i), _MERGED_COLUMNS, "text") for i in range(3)]
+    state = checkpointed(ps.merged(batches))
+    exact = profiling.cardinality(df, _MERGED_COLUMNS).withColumnRenamed("unique", "exact")
+    near = F.abs(F.col("unique") - F.col("exact")) <= 0.05 * F.col("exact")
+    return ps.column_report(state).join(exact, "column").select("column", "rows", "missing", near.alias("near"))
+
+
+@query("p8_merged_lengths", "select count(*) as rows, min(length(text)) as min, max(length(text)) as max, round(avg(length(text)), 6)::double as mean, true as near from documents")
+def merged_lengths(spark, d):
+    """Length states of each source alone, merged; and whether the median's rank is within 3 % of the middle."""
+    df = docs(spark, d)
+    batches = [ps.profile_state(df.filter(F.pmod(F.hash("source"), F.lit(3)) == i), ["lang"], "text") for i in range(3)]
+    state = checkpointed(ps.merged(batches))
+    median = ps.length_report(state).select("q50").scalar()
+    rank = df.agg((F.count_if(F.char_length("text") <= median) / F.count("*")).alias("r")).scalar()
+    return rounded(ps.length_report(state).select("rows", "min", "max", "mean", (F.abs(rank - 0.5) <= 0.03).alias("near")), "mean")
+
+
 _UNK = "(select case when o_orderpriority = '4-NOT SPECIFIED' then 'UNK' else o_orderpriority end as priority, case when o_orderkey % 5 = 0 then 'UNK' when o_orderkey % 7 = 0 then null else o_orderstatus end as status from orders)"
 
 

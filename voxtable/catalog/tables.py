@@ -133,6 +133,30 @@ def same_order(spark, d):
     return checks.same_order(left, right, "id", "pos")
 
 
+@query("s10_row_numbers", "select doc_id, row_number() over () as position from documents")
+def row_numbers(spark, d):
+    """Each document's place in the table's files."""
+    return src.numbered_rows(table(spark, d, "documents")).select("doc_id", "position")
+
+
+@query(
+    "s10_file_order",
+    """select 'id_order' as "check", 'ok' as status, 0::bigint as n, '' as examples, 'same' as pair union all
+       select 'id_order', 'fail', count(*), concat(min(p), ':', arg_min(a, p), '<>', arg_min(b, p)), 'shifted' from
+       (select row_number() over () as p, event_id as a, event_id + cast(event_id % 50 = 1 as integer) as b from events) where a <> b""",
+)
+def file_order(spark, d):
+    """Two CSV files in the events' order, and one with some ids changed, compared by their rows' own places."""
+    rows = src.numbered_rows(table(spark, d, "events"), "p").select(F.col("event_id").alias("id"), "p")
+    changed = rows.withColumn("id", F.col("id") + (F.col("id") % 50 == 1).cast("int"))
+    paths = [scratch_path(spark, "ordered-csv") for _ in range(3)]
+    for df, path in zip((rows, rows, changed), paths):
+        src.write_clean(df.repartitionByRange(4, "p").sortWithinPartitions("p").select("id"), path, "csv")
+    a, b, c = (src.numbered_rows(src.read_csv(spark, path)) for path in paths)
+    same = checks.same_order(a, b, "id", "position").withColumn("pair", F.lit("same"))
+    return same.unionByName(checks.same_order(a, c, "id", "position").withColumn("pair", F.lit("shifted")))
+
+
 _TARGET = "case when o_orderkey % 501 = 3 then o_orderstatus else cast(o_custkey as string) end"
 _S11 = _status("target_numeric", "t is null or try_cast(t as double) is null", "concat(o_orderkey, ':', t)", "o_orderkey", f"(select *, {_TARGET} as t from orders)")
 

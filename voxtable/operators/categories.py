@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.config import UNK
 from voxtable.functions.features import unknown_flag
 from voxtable.functions.values import to_long
-from voxtable.scale import Lookup
+from voxtable.scale import Lookup, dense_ranks
 
 
 @dataclass(frozen=True)
@@ -158,9 +158,7 @@ class LabelEncoder:
     @classmethod
     def fit(cls, df: DataFrame, label_col: str):
         labels = df.select(to_long(F.col(label_col)).alias("label")).filter("label is not null").distinct()
-        # The distinct labels are few; ranking them needs one task for that small table only.
-        order = Window.orderBy("label")
-        return cls(Lookup.settle(labels.withColumn("label_id", F.row_number().over(order) - 1)))
+        return cls(Lookup.settle(dense_ranks(labels, ["label"], "label_id").withColumn("label_id", F.col("label_id").cast("int"))))
 
     @classmethod
     def load(cls, spark, saved: dict):

@@ -17,13 +17,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import HashingTF, OneHotEncoder, StringIndexer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from voxtable.config import UNK
 from voxtable.operators.linear import LinearMargins
-from voxtable.scale import Lookup, checkpointed, scratch_path
+from voxtable.scale import Lookup, dense_ranks, scratch_path
 
 
 # ---- sparse blocks ----
@@ -45,14 +45,7 @@ class OneHot:
     @classmethod
     def fit(cls, df: DataFrame, columns):
         values = _cells(df.withColumn("__i", F.lit(0)), "__i", columns).select("col", "value").distinct()
-        # Numbered inside each column; the columns before shift the numbers.
-        values = checkpointed(values)
-        sizes = {r["col"]: r["count"] for r in values.groupBy("col").count().collect()}
-        shifts, total = {}, 0
-        for c in sorted(sizes):
-            shifts[c], total = total, total + sizes[c]
-        shift = F.element_at(F.create_map(*[F.lit(x) for kv in shifts.items() for x in kv]), F.col("col")) if shifts else F.lit(0)
-        numbered = values.withColumn("feature", (F.row_number().over(Window.partitionBy("col").orderBy("value")) - 1 + shift).cast("int"))
+        numbered = dense_ranks(values, ["col", "value"], "feature").withColumn("feature", F.col("feature").cast("int"))
         return cls(Lookup.settle(numbered), tuple(columns))
 
     @property

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.config import CommentConfig, TicketConfig
@@ -16,7 +16,7 @@ from voxtable.operators.features import (
     comment_features, ordered_comment_columns, ordered_ticket_columns, ticket_features,
 )
 from voxtable.operators.schema import contract_rows, rename_comment_columns, require_contract
-from voxtable.sources.tables import write_clean, write_report
+from voxtable.sources.tables import numbered_rows, read_csv, write_clean, write_report
 
 
 @dataclass(frozen=True)
@@ -54,11 +54,15 @@ def prepare_tickets(df: DataFrame, cfg: TicketConfig, is_train: bool) -> DataFra
 
 def clean_ticket_dataset(
     train: DataFrame, test: DataFrame, template: DataFrame, cfg: TicketConfig | None = None, out_dir: str | None = None,
-    fmt: str = "parquet",
+    fmt: str = "parquet", pos_col: str | None = None,
 ) -> CleanPair:
-    """Everything from raw ticket tables to written clean tables and a summary."""
+    """Everything from raw ticket tables to written clean tables and a summary.
+
+    ``pos_col`` as in ``check_ticket_tables``; ``clean_ticket_files`` takes it from the files.
+    """
     cfg = cfg or TicketConfig()
-    checks.require(check_ticket_tables(train, test, template, cfg))
+    checks.require(check_ticket_tables(train, test, template, cfg, pos_col))
+    train, test = (df.drop(pos_col) if pos_col else df for df in (train, test))
     a, b = prepare_tickets(train, cfg, True), prepare_tickets(test, cfg, False)
     rare = RareGrouping.fit(a, cfg.rare_group_cols, cfg.rare_min_count, cfg.rare_token)
     a, b = rare.transform(a), rare.transform(b)
@@ -74,6 +78,15 @@ def clean_ticket_dataset(
     return CleanPair(a, b, summary)
 
 
+def clean_ticket_files(
+    spark: SparkSession, train: str, test: str, template: str, cfg: TicketConfig | None = None, out_dir: str | None = None, fmt: str = "parquet",
+) -> CleanPair:
+    """The same from three CSV files; the template has to name the test rows in their order."""
+    position = "__position"
+    tables = [numbered_rows(read_csv(spark, path), position) for path in (train, test, template)]
+    return clean_ticket_dataset(*tables, cfg, out_dir, fmt, position)
+
+
 def prepare_comments(df: DataFrame, cfg: CommentConfig, is_train: bool, compat: bool = False) -> DataFrame:
     out = gate_no_phone(clean_comments(df, cfg, is_train, compat), cfg.text_col, cfg.id_col)
     return ordered_comment_columns(comment_features(out, cfg), cfg, is_train)

@@ -152,6 +152,20 @@ def hashed_rank(
     return ranked.select(*cols)
 
 
+def dense_ranks(values: DataFrame, order: Sequence[str], rank_col: str) -> DataFrame:
+    """Distinct rows numbered from 0 in the order of ``order``, without sorting them in one task.
+
+    Rows are dealt to ranges of that order; each range is numbered by itself and shifted by the
+    rows of the ranges before, a table of one row per partition.
+    """
+    ranged = values.repartitionByRange(work_partitions(values), *[F.asc(c) for c in order]).withColumn("__range", F.spark_partition_id())
+    kept = checkpointed(ranged)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = kept.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return kept.withColumn("__own", own).join(F.broadcast(shifts), "__range").select(*values.columns, (F.col("__own") + F.col("__shift")).alias(rank_col))
+
+
 def text_digest(col: Column) -> Column:
     """16-byte stand-in for a whole text, so grouping never shuffles the text itself."""
     return F.unhex(F.md5(col))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtable.lexicon import CSV_ENCODINGS
+from voxtable.scale import Lookup
 
 # Byte values that the Windows-1252 code page leaves undefined (fixed values).
 _UNDEFINED_1252 = ("81", "8D", "8F", "90", "9D")
@@ -19,18 +20,44 @@ def require_path(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"missing input: {path}")
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
+def has_open_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> bool:
+    """Whether a quoted field goes on over the end of a line: a line with an odd number of quotes."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multi_line: bool | None = None) -> DataFrame:
     """CSV with a header, every column as text.
 
-    ``multi_line`` allows line breaks inside quoted fields but makes a file one task; large
-    inputs should come as many files, or without such breaks.
+    A file with line breaks inside quoted fields (``multi_line``) is read by one task, others are
+    split. By default one pass over the lines, which stops at the first such field, decides.
     """
     require_path(spark, path)
+    if multi_line is None:
+        multi_line = has_open_lines(spark, path, encoding)
     reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
     df = reader.option("multiLine", multi_line).option("encoding", encoding).csv(path)
     return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
+def numbered_rows(df: DataFrame, position: str = "position") -> DataFrame:
+    """A table as read from files, with each row's place in them: files by path, then rows in order, from 1.
+
+    ``df`` is a reader's result without joins, filters or shuffles. Rows are counted per split of a
+    file and shifted by the splits before; no row moves to another task.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    marked = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], split.alias("__split"), F.monotonically_increasing_id().alias("__row"))
+    splits = marked.groupBy("__split").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    before = Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per split of the files.
+    shifts = Lookup.settle(splits.select("__split", F.col("__first") - F.coalesce(F.sum("__n").over(before), F.lit(0)) - 1).toDF("__split", "__shift"))
+    placed = shifts.join(marked, "__split", "inner")
+    return placed.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names)], (F.col("__row") - F.col("__shift")).alias(position))
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """First encoding of utf-8, utf-8-sig, cp1252, latin-1 that decodes every byte.
 
@@ -53,7 +80,7 @@ def _ansi_pairs() -> tuple[str, str]:
     return "".join(map(chr, codes)), "".join(bytes([b]).decode("cp1252") for b in codes)
 
 
-def read_csv_robust(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv_robust(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """CSV in the first encoding that fits. Windows-1252 is Latin-1 with 27 characters moved."""
     require_path(spark, path)
     encoding = detect_encoding(spark, path)
