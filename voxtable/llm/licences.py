@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtable.llm import columnar as cx
-from voxtable.llm.joins import settled, sized
+from voxtable.llm.joins import settled
+from voxtable.scale import Lookup
 
 MIN_COSINE = 0.6
 # Windows are taken at every place, so chance has many tries; copies with other names stay above.
@@ -324,15 +325,15 @@ def inherit(files: DataFrame, path_col: str = "path") -> DataFrame:
     chain = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("up")))
     climbed = dirs.select("__dir", F.inline(F.array_distinct(chain)))
     nearest = climbed.join(declared.select(F.col("__dir").alias("up"), "found"), "up").groupBy("__dir").agg(F.max_by(F.struct("found", "up"), F.struct("depth", "up")).alias("near"))
-    nearest = settled(nearest)
-    joined = placed.join(sized(nearest, nearest.count()), "__dir", "left")
-    return joined.select(
-        *files.columns, F.coalesce("own_licence", "near.found").alias("licence"),
-        F.when(F.col("own_licence").isNull(), F.col("near.up")).alias("from_dir"),
+    # Paths may have any length, so the table's bytes decide whether it is broadcast.
+    nearest = Lookup.settle(nearest.select("__dir", F.col("near.found").alias("__found"), F.col("near.up").alias("__up")))
+    return nearest.join(placed, "__dir").select(
+        *files.columns, F.coalesce("own_licence", "__found").alias("licence"), F.when(F.col("own_licence").isNull(), F.col("__up")).alias("from_dir"),
     )
 
 
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per file: own licence, cosine, line, the licence in force and where it comes from."""
     files = docs.select(F.col(f"`{id_col}`").alias("doc_id"), path.cast("string").alias("path"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return inherit(own_licences(files, ["doc_id", "path"]))
+    # The texts are read once; directories and their licences come from this small table.
+    return inherit(settled(own_licences(files, ["doc_id", "path"])))

@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratios = _ratios(rows, n_toxic, n_other)
     part = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / n_toxic))).otherwise(F.lit(min(1.0, sample / n_other)))
     chosen = known.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < part * 1_000_003)
-    used = texts.join(F.broadcast(chosen), "i").select("i", "toxic", "text")  # about 2 * sample rows
+    # About 2 * sample ids; of an id with several texts the least one, so no id brings more than one row.
+    used = texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
     weighty = ratios != 0
 
     def buckets(texts):
@@ -147,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return [pa.array([b[weighty[b]].astype(np.int32).tobytes() for b in map(grams, texts)], pa.binary())]
 
     got = cx.text_map(used, "text", buckets, "b binary", ["i", "toxic"], strings=True).toArrow()
-    order = np.lexsort(([hash(x) for x in got["b"].to_pylist()], got["i"].to_numpy()))
+    order = np.argsort(got["i"].to_numpy(), kind="stable")
     present = [np.frombuffer(got["b"][int(k)].as_py(), np.int32).astype(np.int64) for k in order]
     toxic = got["toxic"].to_numpy()[order].astype(float)
     if not len(toxic) or toxic.min() == toxic.max():
