@@ -9,6 +9,8 @@ from voxtable.scale import checkpointed
 
 # Rows of a few numbers each; about 20 MB once hashed.
 BROADCAST_ROWS = 150_000
+# Rows of a few numbers each that one task takes on.
+ROWS_PER_TASK = 50_000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -16,10 +18,20 @@ def settled(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` rows in no more partitions than these rows are worth.
+
+    Each task of a shuffle leaves files of its own, so tables of a few rows in many partitions
+    cost more disk and time than their rows.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``settled`` with its number of rows."""
+    """``settled`` and ``gathered``, with its number of rows."""
     kept = settled(df)
-    return kept, kept.count()
+    rows = kept.count()
+    return gathered(kept, rows), rows
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtable.llm import columnar as cx
-from voxtable.llm.joins import counted, row_key, settled, sized, without
+from voxtable.llm.joins import counted, gathered, row_key, settled, sized, without
 
 WORDS = 5
 PERCENT = 80
@@ -152,7 +152,7 @@ def _sketches(reps: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: pruned by signature, then checked on full sets."""
-    pairs = settled(pairs)
+    pairs, _ = counted(pairs)
     ends, n_ends = counted(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     signed = _sketches(reps.join(sized(ends, n_ends), "rep", "left_semi"))
     both = pairs.join(signed.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(signed.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -170,7 +170,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
                 left, matches = left[on], matches[on]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(left)), batch.column(1).take(pa.array(left))], ["a", "b"])
 
-    passed = settled(both.select("a", "b", "sa", "sb").mapInArrow(survive, "a long, b long"))
+    passed, _ = counted(both.select("a", "b", "sa", "sb").mapInArrow(survive, "a long, b long"))
     needed, n_needed = counted(passed.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
 
     def sets(data, offsets):
@@ -179,7 +179,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
 
     keyed = _texts_of(needed, n_needed, reps, texts)
     full = cx.text_map(keyed, "text", sets, "keys binary", ["rep"])
-    full = settled(full.dropDuplicates(["rep"]))
+    full, _ = counted(full.dropDuplicates(["rep"]))
     held = passed.join(full.select(F.col("rep").alias("a"), F.col("keys").alias("ka")), "a").join(full.select(F.col("rep").alias("b"), F.col("keys").alias("kb")), "b")
 
     def check(batches):
@@ -197,7 +197,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
 
 def _texts_of(needed: DataFrame, n: int, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The texts of some classes, by the id and content of their representatives."""
-    chosen = settled(reps.select("rep", "doc_id", "k").join(sized(needed, n), "rep", "left_semi"))
+    chosen, _ = counted(reps.select("rep", "doc_id", "k").join(sized(needed, n), "rep", "left_semi"))
     return texts.join(sized(chosen, n), ["doc_id", "k"])
 
 
@@ -211,11 +211,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while n:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = gathered(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), n)
+        large = gathered(near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), n)
+        low = gathered(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = settled(small)
+        edges = gathered(settled(small), n)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -238,33 +238,33 @@ def classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     named = profile.filter("n_shingles > 0 and doc_id is not null")
     first = named.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "k")).alias("least")).select("d1", "d2", "least.*")
     reps = named.join(first, ["d1", "d2", "doc_id", "k"]).withColumn("rep", F.xxhash64("d1", "d2")).dropDuplicates(["rep"])
-    reps = settled(reps.select("rep", "doc_id", "k", "sign", F.col("n_shingles").alias("n")))
+    reps, _ = counted(reps.select("rep", "doc_id", "k", "sign", F.col("n_shingles").alias("n")))
 
     member = _bucketed(reps)
     crowded = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    member = settled(member.join(crowded, "bucket"))
+    member, _ = counted(member.join(crowded, "bucket"))
     weight = member.groupBy("rep").agg(F.sum("size").alias("weight"))
     member = member.join(weight, "rep").select("rep", "bucket", "weight")
     centre = member.groupBy("bucket").agg(F.max_by("rep", F.struct("weight", "rep")).alias("centre"))
     star = member.join(centre, "bucket").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    links = settled(_verified(star, reps, texts, words, percent))
+    links, _ = counted(_verified(star, reps, texts, words, percent))
 
     # Ids that repeat with different texts tie their classes together.
     tied = named.select("doc_id", "d1", "d2").distinct().withColumn("class", F.xxhash64("d1", "d2"))
     tied = tied.withColumn("low", F.min("class").over(Window.partitionBy("doc_id"))).filter("low <> class").select(F.col("low").alias("a"), F.col("class").alias("b"))
-    links = settled(links.union(tied))
-    found = settled(components(links))
+    found, _ = counted(components(links.union(tied)))
 
     open_ = member.select("rep", "bucket").join(_labelled(reps.select("rep", "n"), found), "rep")
     mixed = open_.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-    open_ = settled(open_.join(mixed, "bucket"))
-    more, n_more = counted(_verified(_crossing(open_, reps, texts, words, percent), reps, texts, words, percent))
+    open_, n_open = counted(open_.join(mixed, "bucket"))
+    # Where no bucket holds members of two components, there is nothing left to settle.
+    more, n_more = counted(_verified(_crossing(open_, reps, texts, words, percent), reps, texts, words, percent)) if n_open else (None, 0)
     if n_more:
         # Components found so far count as nodes of the second closure.
         joined = more.select(F.col("a").alias("rep"), "b").join(_labelled(more.select(F.col("a").alias("rep")), found).distinct(), "rep").select(F.col("comp").alias("a"), F.col("b").alias("rep"))
         joined = joined.join(_labelled(more.select(F.col("b").alias("rep")), found).distinct(), "rep").select("a", F.col("comp").alias("b"))
         again = components(joined).withColumnRenamed("node", "comp").withColumnRenamed("label", "final")
-        found = settled(_labelled(reps.select("rep"), found).join(again, "comp", "left").select(F.col("rep").alias("node"), F.coalesce("final", "comp").alias("label")))
+        found, _ = counted(_labelled(reps.select("rep"), found).join(again, "comp", "left").select(F.col("rep").alias("node"), F.coalesce("final", "comp").alias("label")))
     labelled = _labelled(reps.select("rep", "doc_id"), found)
     low = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return profile, labelled.join(low, "comp").select(F.col("rep").alias("class"), "component_id")
@@ -286,11 +286,11 @@ def _crossing(open_: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
         return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), cx.signed(found))]
 
     shingles = cx.text_map(keyed, "text", keys, "keys array<long>", ["rep"]).dropDuplicates(["rep"]).select("rep", F.explode("keys").alias("key"))
-    shingles = settled(shingles)
+    shingles, _ = counted(shingles)
     owners = shingles.groupBy("key").agg(F.count("*").alias("owners")).filter(F.col("owners") <= RARE)
-    rare = settled(shingles.join(owners, "key"))
+    rare, _ = counted(shingles.join(owners, "key"))
     kinds = rare.groupBy("rep").agg(F.count("*").alias("r"))
-    known = settled(open_.select("rep", "n", "comp").distinct().join(kinds, "rep", "left").withColumn("r", F.coalesce("r", F.lit(0))))
+    known, _ = counted(open_.select("rep", "n", "comp").distinct().join(kinds, "rep", "left").withColumn("r", F.coalesce("r", F.lit(0))))
 
     side = lambda x: known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns])
     linked = rare.filter("owners > 1").select("key", "rep")
@@ -307,7 +307,7 @@ def _crossing(open_: DataFrame, reps: DataFrame, texts: DataFrame, k: int, perce
     sizes = sizes.filter(100 * F.col("most") >= percent * F.col("n"))
     # A bucket's largest component is only on one side: its own pairs are settled.
     main = open_.groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    sizes = settled(sizes.join(main, "bucket"))
+    sizes, _ = counted(sizes.join(main, "bucket"))
     # Sizes fall in steps of a factor of the threshold, so partners are in the same or the next step.
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(percent / 100)))).cast("int")
     left = sizes.filter("comp <> main").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
