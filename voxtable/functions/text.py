@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -76,56 +75,10 @@ def normalize_arabic(text: Column) -> Column:
     return bind(text, lambda t: F.when(t.rlike(lx.ARABIC), unified(t)).otherwise(t))
 
 
-def needed_literals(pattern: str) -> tuple[str, ...]:
-    """Plain texts of which one stands, blanks aside, in all that a pattern of simple alternatives matches; none if unsure."""
-    body = pattern.replace(r"\b", "").replace(r"\s*", "")
-    body = re.sub(r"^\((?:\?:)?(.*)\)$", r"\1", body)
-    found = []
-    for option in body.split("|"):
-        # What stands before the first special character must be there, but for one that may be missing.
-        plain = re.match(r"[\w/]*", option)[0]
-        rest = option[len(plain) :]
-        found.append((plain[:-1] if rest[:1] in ("?", "*", "{") else plain).lower())
-    return tuple(dict.fromkeys(found)) if all(len(x) > 1 for x in found) else ()
-
-
-# Characters that match i, s and k when case is ignored, and blanks, which patterns allow anywhere.
-_FOLDED = "\u0130\u0131\u017f\u212a"
-_UNBLANK = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-
-
-def rewrite_spellings(text: Column, rules) -> Column:
-    """Ordered (pattern, replacement) rules, ignoring case.
-
-    One lower-cased copy of the text without blanks tells which rules can match, so a text is
-    only read by the patterns whose plain parts it holds. A rule also runs where an earlier one
-    that may have put its plain parts there ran.
-    """
-    triggers: list[tuple[str, ...]] = []
-    for pattern, _ in rules:
-        own = needed_literals(pattern)
-        made = [t for (_, put), t in zip(rules, triggers) if any(x in put.lower().replace(" ", "") for x in own)]
-        triggers.append(() if not own or () in made else tuple(dict.fromkeys([*own, *(x for t in made for x in t)])))
-
-    def rewritten(pair: Column) -> Column:
-        out = pair["text"]
-        for (pattern, put), literals in zip(rules, triggers):
-
-            def apply(c: Column, pattern=pattern, put=put) -> Column:
-                return F.regexp_replace(c, java(pattern, ignore_case=True), put)
-
-            if literals:
-                may = reduce(lambda a, b: a | b, [F.contains(pair["key"], F.lit(x)) for x in literals])
-                out = bind(out, lambda c: F.when(may, apply(c)).otherwise(c))
-            else:
-                out = apply(out)
-        return out
-
-    return bind(text, lambda t: bind(F.struct(t.alias("text"), F.lower(F.translate(t, _FOLDED + _UNBLANK, "iisk")).alias("key")), rewritten))
-
-
 def canonicalize_telecom(text: Column) -> Column:
-    return rewrite_spellings(text, lx.TELECOM_SPELLINGS)
+    return reduce(
+        lambda c, rule: F.regexp_replace(c, java(rule[0], ignore_case=True), rule[1]), lx.TELECOM_SPELLINGS, text
+    )
 
 
 def split_scripts(text: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +25,7 @@ from voxtable.operators.learning import _strength
 from voxtable.operators.linear import LinearMargins, SquaredHingeSvm
 from voxtable.operators.pseudo import complete_submission
 from voxtable.operators.text_stages import TextTable
+from voxtable.scale import scratch_path
 
 KINDS = {"logistic": 4.0, "svm": 0.25}
 
@@ -59,8 +60,12 @@ class TextClassifier:
             learner = LogisticRegression(
                 family="multinomial", labelCol="label_id", weightCol="weight", maxIter=max_iter or 100, standardization=False, regParam=_strength(ready, c, "weight"),
             )
-        pipeline = Pipeline(stages=[TextTable(**table_options), learner]).fit(ready)
-        return cls(pipeline, ScoreSpec(name, id_col, label_col, tuple(encoder.order()), kind))
+        table = TextTable(**table_options).fit(ready)
+        # Vectors are made and written once; the learner reads them in every pass.
+        path, made = scratch_path(df.sparkSession, "fit-vectors"), table.transform(ready).select("label_id", "weight", "features")
+        made.write.parquet(path)
+        fitted = learner.fit(df.sparkSession.read.schema(made.schema).parquet(path))
+        return cls(PipelineModel([table, fitted]), ScoreSpec(name, id_col, label_col, tuple(encoder.order()), kind))
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
