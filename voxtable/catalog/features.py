@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxtable import lexicon as lx
+from voxtable.catalog.cleaning import _PARSED as PARSED
+from voxtable.catalog.cleaning import _WHEN as WHEN
+from voxtable.catalog.cleaning import _cat_sql as category_sql
 from voxtable.catalog.cleaning import docs
-from voxtable.catalog.registry import NOISY, PLATFORM, gsub, has, query, table
+from voxtable.catalog.registry import NOISY, ORACLES, PLATFORM, gsub, has, query, table
 from voxtable.config import CommentConfig, TicketConfig
 from voxtable.functions import features as fx
 from voxtable.operators import categories as cat
@@ -304,3 +307,44 @@ def allowed_tokens(spark, d):
 
 
 __all__ = ["COMMENT_TEXT", "gsub"]
+
+
+# ---- whole cleaned tables: their parts have SQL of their own ----
+
+ORACLES["c30_comment_table"] = (
+    f"with c as ({ORACLES['c19_clean_comment']}), p as ({ORACLES['c21_clean_platform']}),"
+    f" f as (select doc_id, comment, {', '.join(f32(e, n) for n, e in _COMMENT_NUMBERS.items())}, {_COMMENT_FLAGS} from (select *, comment as x from c))"
+    " select doc_id as id, cast(case lang when 'en' then 1 when 'fr' then 2 when 'de' then 3 else 4 end as bigint) as label, platform, f.* exclude (doc_id), "
+    + f32("least(" + " + ".join(n for n, _ in lx.COMMENT_KEYWORDS) + ", 100)", "n_tech_flags")
+    + " from documents join p using (doc_id) join f using (doc_id)"
+)
+
+_RAW_TICKET = {
+    "tt_status": "concat(upper(lang[1]), lang[2:])", "dept_initial": "upper(source)", "service_request_type": "'Réclamation'",
+    "subs_level": "case when doc_id % 9 = 0 then null when doc_id % 29 = 0 then 'prepaid' else ' Postpaid ' end",
+    "customer_level": "case when doc_id % 2 = 0 then 'Résidentiel' else 'Business' end", "dept_traitement": "concat(source, ' [used by system]')",
+    "tech_comm": "'Tech'", "service_type": "case when doc_id % 3 = 0 then 'FTTH' else 'ADSL' end", "dot": "concat('DOT ', doc_id % 40)",
+    "actel": "concat('ACTEL ', source, ' (J', doc_id % 25, ')')", "actel_code": "concat('J', doc_id % 25)",
+}
+_RAW_TICKET_RULES = {
+    "dept_traitement": "coalesce(nullif(trim(regexp_replace({}, '\\s*\\[[^\\]]+\\]\\s*$', '')), ''), 'UNK')",
+    "customer_level": "case when starts_with({0}, 'resid') then 'residential' else {0} end",
+}
+_TICKET_CATEGORIES = ", ".join(f"{_RAW_TICKET_RULES.get(n, '{}').format(category_sql(n))} as {n}" for n in _RAW_TICKET)
+_EDGE = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+_TICKET_COUNTED = _TICKET_NUMBERS | {
+    **{n: f"case when t is null then -1 else {e} end" for n, e in _TIME_PARTS.items()}, "handle_time_missing": "case when t is null then 1 else 0 end",
+    "subs_level_missing": "case when subs_level = 'UNK' then 1 else 0 end",
+    "mbps_value_count": "len(a)", "mbps_value_max": "coalesce(list_max(list_transform(a, lambda v: try_cast(replace(v, ',', '.') as double))), 0)",
+    "mo_value_count": "len(b)", "mo_value_max": "coalesce(list_max(list_transform(b, lambda v: try_cast(v as double))), 0)",
+}
+ORACLES["c30_ticket_table"] = (
+    f"with c as ({ORACLES['c20_clean_ticket_text']}), r as (select doc_id, {', '.join(f'{e} as {n}' for n, e in _RAW_TICKET.items())} from documents),"
+    f" k as (select doc_id, {_TICKET_CATEGORIES} from r),"
+    f" w as (select doc_id, {WHEN.replace('event_id', 'doc_id').replace('event_type', 'lang')} as x from documents), t as (select doc_id, {PARSED} as t from w),"
+    f" j as (select documents.doc_id, lang, t, service_content, service_content as x, k.* exclude (doc_id),"
+    f" regexp_extract_all(service_content, '{_EDGE[0]}([0-9]+(?:[.,][0-9]+)?)\\s*mbps{_EDGE[1]}', 1) as a, regexp_extract_all(service_content, '{_EDGE[0]}([0-9]{{1,4}})\\s*mo{_EDGE[1]}', 1) as b"
+    " from documents join c using (doc_id) join k using (doc_id) join t using (doc_id))"
+    " select cast(doc_id as varchar) as id, case lang when 'en' then '0' when 'fr' then '1' when 'de' then '2' else '3' end as class_int, concat('SN', doc_id) as sn, t as handle_time,"
+    f" service_content, {', '.join(_RAW_TICKET)}, {', '.join(f32(e, n) for n, e in _TICKET_COUNTED.items())} from j"
+)
